@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelspark.llm import near_duplicates as nd
+from gavelspark.llm.bpe import CountLattice
+from gavelspark.llm.encoding import encode_texts
+from gavelspark.llm.token_budget import token_budget
 from gavelspark.session import ship_package
 
 
@@ -15,6 +19,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public vocabulary; the folder is a parameter."""
+    return os.path.join(os.environ.get("GAVEL_TOKENIZERS", "/opt/tokenizers"), name)
+
+
 def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "evaluate").select("list_id", F.posexplode("candidates").alias("pos", "text"))
 
@@ -25,7 +34,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.flat(nd.expand(links, members), ["list_id", "pos"], ["list", "pos"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found}
+def p4_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of byte_bpe_50k per source, language and domain."""
+    return token_budget(_read(spark, sf_dir, "evaluate"), _read(spark, sf_dir, "language_names"), CountLattice.of_merges(vocabulary()))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under byte_bpe_50k."""
+    return encode_texts(_read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_token_budget": p4_token_budget, "p5_found": p5_found, "p6_ids": p6_ids}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
