@@ -30,7 +30,7 @@ PLAIN_BYTES = ((33, 126), (161, 172), (174, 255))
 
 _SPLIT = regex.compile(SPLIT)
 #: The same for texts without non-ASCII and without the control characters on which the two libraries differ.
-_SPLIT_ASCII = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+_SPLIT_ASCII = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _ODD = re.compile("[\x1c-\x1f]")
 _NEVER = 1 << 60
 _CACHE_LIMIT = 500_000
@@ -274,7 +274,7 @@ class CountLattice:
         keep = arcs.alive(names) if arcs else [i for i, n in enumerate(names) if n]
         self.trie = DoubleArrayTrie({names[i]: i for i in keep})
         self.scores, self.arcs = scores, arcs
-        self._known: dict[str, int] = {}
+        self._known = _Counts(self)
 
     @classmethod
     def of_merges(cls, path: str) -> CountLattice:
@@ -282,23 +282,29 @@ class CountLattice:
         return cls(names, arcs=MergeArcs(len(names), merges))
 
     def count(self, segment: str) -> int:
-        found = self._known.get(segment)
-        if found is None:
-            if len(self._known) > _CACHE_LIMIT:
-                self._known.clear()
-            data = segment.encode("utf-8", "replace")
-            found = self._known[segment] = self._by_merges(data) if self.arcs else self._by_scores(data)
-        return found
+        return self._known[segment]
+
+    def _count(self, segment: str) -> int:
+        data = segment.encode("utf-8", "replace")
+        return self._by_merges(data) if self.arcs else self._by_scores(data)
 
     def _by_merges(self, data: bytes) -> int:
-        counts, last = [0] * (len(data) + 1), [-1] * (len(data) + 1)
-        follows = self.arcs.follows
-        for at in range(len(data)):
-            before = last[at]
-            for end, label in self.trie.starts(data, at):
-                if before < 0 or follows(before, label):
-                    counts[end], last[end] = counts[at] + 1, label
-        return counts[-1]
+        n = len(data)
+        counts, last = [0] * (n + 1), [-1] * (n + 1)
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        known, size, follows, room = self.arcs.known, self.arcs.size, self.arcs.follows, len(self.trie.check)
+        for at in range(n):
+            before, node, end = last[at] * size, 0, at
+            while end < n:
+                nxt = base[node] + data[end]
+                if nxt >= room or check[nxt] != node or nxt == 0:
+                    break
+                node, end = nxt, end + 1
+                label = value[node]
+                if label >= 0 and last[end] < 0:
+                    if at == 0 or (known[before + label] if before + label in known else follows(last[at], label)):
+                        counts[end], last[end] = counts[at] + 1, label
+        return counts[n]
 
     def _by_scores(self, data: bytes) -> int:
         scores, unknown = self.scores, min(self.scores) - 10.0
@@ -314,4 +320,21 @@ class CountLattice:
         return -best[-1][1]
 
     def count_text(self, text: str | None) -> int:
-        return sum(map(self.count, split_words(text))) if text else 0
+        return sum(map(self._known.__getitem__, split_words(text))) if text else 0
+
+
+class _Counts(dict):
+    """Segment -> count; emptied when it holds too much. It travels to the workers empty."""
+
+    def __init__(self, lattice: CountLattice):
+        super().__init__()
+        self.lattice = lattice
+
+    def __missing__(self, segment: str) -> int:
+        if len(self) > _CACHE_LIMIT:
+            self.clear()
+        found = self[segment] = self.lattice._count(segment)
+        return found
+
+    def __reduce__(self):
+        return _Counts, (self.lattice,)
