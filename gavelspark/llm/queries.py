@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gavelspark.llm import near_duplicates as nd
 from gavelspark.llm.bpe import CountLattice
 from gavelspark.llm.encoding import encode_texts
+from gavelspark.llm.split_overlap import overlap_report, split_overlaps
 from gavelspark.llm.token_budget import token_budget
 from gavelspark.session import ship_package
 
@@ -34,6 +35,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.flat(nd.expand(links, members), ["list_id", "pos"], ["list", "pos"])
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of lists that occur in train and outside."""
+    found = split_overlaps(_read(spark, sf_dir, "evaluate"), _read(spark, sf_dir, "language_names"))
+    return found.select(F.least("train_id", "other_id").alias("list_a"), F.greatest("train_id", "other_id").alias("list_b"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps with train per split and source."""
+    lists = _read(spark, sf_dir, "evaluate")
+    return overlap_report(split_overlaps(lists, _read(spark, sf_dir, "language_names")), lists)
+
+
 def p4_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of byte_bpe_50k per source, language and domain."""
     return token_budget(_read(spark, sf_dir, "evaluate"), _read(spark, sf_dir, "language_names"), CountLattice.of_merges(vocabulary()))
@@ -44,7 +57,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_token_budget": p4_token_budget, "p5_found": p5_found, "p6_ids": p6_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p6_ids": p6_ids}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
