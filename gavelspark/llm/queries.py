@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gavelspark.llm import near_duplicates as nd
 from gavelspark.llm.bpe import CountLattice
 from gavelspark.llm.encoding import encode_texts
+from gavelspark.llm.pair_ranking import policy_games, ranking, strengths
 from gavelspark.llm.split_overlap import overlap_report, split_overlaps
 from gavelspark.llm.token_budget import token_budget
 from gavelspark.session import ship_package
@@ -47,6 +48,26 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(split_overlaps(lists, _read(spark, sf_dir, "language_names")), lists)
 
 
+def _ranking(spark: SparkSession, sf_dir: str, link: str) -> DataFrame:
+    games = policy_games(_read(spark, sf_dir, "ranking_consistency"), _read(spark, sf_dir, "candidate_policies"))
+    return ranking(strengths(games, link), _read(spark, sf_dir, "policies"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all policies; the chance of a win is s_x / (s_x + s_y), hence the logit link."""
+    return _ranking(spark, sf_dir, "logit").select("place", "policy")
+
+
+def p2_probit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probit strengths with standard errors."""
+    return _ranking(spark, sf_dir, "probit")
+
+
+def p2_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wins and losses of each pair of policies: what the fit sees."""
+    return policy_games(_read(spark, sf_dir, "ranking_consistency"), _read(spark, sf_dir, "candidate_policies"))
+
+
 def p4_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of byte_bpe_50k per source, language and domain."""
     return token_budget(_read(spark, sf_dir, "evaluate"), _read(spark, sf_dir, "language_names"), CountLattice.of_merges(vocabulary()))
@@ -57,7 +78,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p6_ids": p6_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_probit": p2_probit, "p2_games": p2_games, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p6_ids": p6_ids}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
