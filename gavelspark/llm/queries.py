@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gavelspark.llm import near_duplicates as nd
 from gavelspark.llm.bpe import CountLattice
 from gavelspark.llm.encoding import encode_texts
+from gavelspark.llm.leaks import leak_report, leaked_items
 from gavelspark.llm.pair_ranking import policy_games, ranking, strengths
 from gavelspark.llm.split_overlap import overlap_report, split_overlaps
 from gavelspark.llm.token_budget import token_budget
@@ -78,7 +79,17 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_probit": p2_probit, "p2_games": p2_games, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a held-out item."""
+    return leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "heldout_items"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items with the documents and sources that hold them."""
+    return leak_report(p7_found(spark, sf_dir), _read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_probit": p2_probit, "p2_games": p2_games, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
