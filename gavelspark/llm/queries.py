@@ -12,6 +12,7 @@ from gavelspark.llm import near_duplicates as nd
 from gavelspark.llm.bpe import CountLattice
 from gavelspark.llm.encoding import encode_texts
 from gavelspark.llm.leaks import leak_report, leaked_items
+from gavelspark.llm.pair_defects import pair_defects
 from gavelspark.llm.pair_ranking import policy_games, ranking, strengths
 from gavelspark.llm.split_overlap import overlap_report, split_overlaps
 from gavelspark.llm.token_budget import token_budget
@@ -69,6 +70,12 @@ def p2_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy_games(_read(spark, sf_dir, "ranking_consistency"), _read(spark, sf_dir, "candidate_policies"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective sides of preference pairs."""
+    labelled = _read(spark, sf_dir, "documents").select(F.col("lang").alias("language"), "text")
+    return pair_defects(_read(spark, sf_dir, "thinkdpo_training"), labelled)
+
+
 def p4_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of byte_bpe_50k per source, language and domain."""
     return token_budget(_read(spark, sf_dir, "evaluate"), _read(spark, sf_dir, "language_names"), CountLattice.of_merges(vocabulary()))
@@ -89,7 +96,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(p7_found(spark, sf_dir), _read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_probit": p2_probit, "p2_games": p2_games, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_probit": p2_probit, "p2_games": p2_games, "p3_found": p3_found, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
