@@ -14,6 +14,7 @@ from gavelspark.llm.encoding import encode_texts
 from gavelspark.llm.leaks import leak_report, leaked_items
 from gavelspark.llm.pair_defects import pair_defects
 from gavelspark.llm.pair_ranking import policy_games, ranking, strengths
+from gavelspark.llm.personal import found_pieces, redacted
 from gavelspark.llm.split_overlap import overlap_report, split_overlaps
 from gavelspark.llm.token_budget import token_budget
 from gavelspark.session import ship_package
@@ -96,7 +97,17 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(p7_found(spark, sf_dir), _read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_probit": p2_probit, "p2_games": p2_games, "p3_found": p3_found, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different piece of personal information of each document."""
+    return found_pieces(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "given_names")).select("doc_id", "kind", "found").distinct()
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with typed placeholders in place of personal information."""
+    return redacted(_read(spark, sf_dir, "documents"), p8_found(spark, sf_dir), _read(spark, sf_dir, "given_names"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_probit": p2_probit, "p2_games": p2_games, "p3_found": p3_found, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
