@@ -18,9 +18,9 @@ def sink_detail(rows: DataFrame, path: str, **columns: Column) -> None:
 
 def fmt_percent(c: Column) -> Column:
     """Percent with two decimals; N/A for null."""
-    return F.coalesce(F.format_string("%.2f", c * 100), F.lit("N/A"))
+    return F.when(c.isNotNull(), F.format_string("%.2f", c * 100)).otherwise("N/A")
 
 
 def fmt_decimals(c: Column) -> Column:
     """Four decimals; N/A for null."""
-    return F.coalesce(F.format_string("%.4f", c), F.lit("N/A"))
+    return F.when(c.isNotNull(), F.format_string("%.4f", c)).otherwise("N/A")
