@@ -27,6 +27,8 @@ from gavelspark.session import materialize
 
 #: Least disclosure in bits, least number of different companions and least share of uses as a name.
 BITS, COMPANIONS, SHARE = 2.0, 2, 0.5
+#: Rare words are weighed by their last letters: lengths of endings, and least number of different words with one beside given names.
+ENDINGS, ENDING_WORDS = (4, 3), 4
 #: Uses of a context from which on it can be trusted, and the share of names among them.
 CONTEXT_USES, CONTEXT_SHARE = 5, 0.8
 
@@ -173,8 +175,12 @@ def pieces(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").where("text is not null and doc_id is not null").mapInPandas(run, schema)
 
 
+def _endings(c: str):
+    return F.explode(F.array(*[F.substring(F.col(c), -n, n) for n in ENDINGS]))
+
+
 def weigh(candidates: DataFrame, uses: DataFrame, given_names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Families (family, disclosure), given names and contexts that the corpus shows to be those of people.
+    """Families (family, disclosure) among the words of the candidates, given names and contexts that the corpus shows to be those of people.
 
     ``uses`` (family, uses) tells how often each word stands in the corpus at all. The disclosure of a word is log2 of
     the odds that one of its uses has a listed given name or initial beside it, over those of all words. Everything is an aggregation over all candidates, with partial sums before the shuffle.
@@ -188,7 +194,14 @@ def weigh(candidates: DataFrame, uses: DataFrame, given_names: DataFrame) -> tup
     stats = not_given.groupBy("family").agg(F.sum(person.cast("int")).alias("k"), F.countDistinct(F.when(F.col("listed") == 1, F.col("given"))).alias("companions"), F.max((F.col("given") == ".").cast("int")).alias("initials"))
     stats = stats.where("k > 0").join(uses, "family", "left").withColumn("n", F.greatest("k", F.coalesce("uses", "k")))
     bits = F.log2((F.col("k") + 0.5) / (F.col("n") - F.col("k") + 0.5) / F.lit(base))
-    families = stats.withColumn("disclosure", bits).where((F.col("disclosure") >= BITS) & (F.col("companions") + F.col("initials") >= COMPANIONS) & (F.col("k") >= SHARE * F.col("n"))).select("family", "disclosure")
+    stats = materialize(stats, "stats")
+    revealing = (bits >= BITS) & (F.col("k") >= SHARE * F.col("n"))
+    families = stats.where(revealing & (F.col("companions") + F.col("initials") >= COMPANIONS)).select("family", bits.alias("disclosure"))
+    # a word that is too rare to tell counts as its ending does, over all uses of words with that ending
+    ends = stats.withColumn("ending", _endings("family")).groupBy("ending").agg(F.sum("k").alias("k"), F.count_if(F.col("companions") > 0).alias("words"))
+    ends = ends.join(uses.withColumn("ending", _endings("family")).groupBy("ending").agg(F.sum("uses").alias("n")), "ending").where(revealing & (F.col("words") >= ENDING_WORDS)).select("ending", bits.alias("disclosure"))
+    words = not_given.select("family").distinct().withColumn("ending", _endings("family")).join(ends, "ending").select("family", "disclosure")
+    families = families.union(words).groupBy("family").agg(F.max("disclosure").alias("disclosure"))
     families = materialize(families, "families")
     with_family = not_given.join(families, "family", "left").withColumn("sure", F.col("disclosure").isNotNull().cast("int"))
     by_given = with_family.where("listed = 0 and given <> '.'").groupBy("given").agg(F.count("*").alias("n"), F.sum("sure").alias("k"), F.countDistinct(F.when(F.col("sure") == 1, F.col("family"))).alias("companions"))
@@ -196,8 +209,9 @@ def weigh(candidates: DataFrame, uses: DataFrame, given_names: DataFrame) -> tup
     givens = materialize(givens.union(listed.select("given")).distinct(), "givens")
     both = with_family.join(givens.withColumn("is_given", F.lit(1)), "given", "left")
     sure = (F.col("sure") == 1) & (F.col("is_given").isNotNull() | (F.col("given") == "."))
-    seen = both.where("context <> ''").select(F.explode(F.split("context", r"\|")).alias("context"), sure.alias("sure"))
-    contexts = seen.groupBy("context").agg(F.count("*").alias("n"), F.sum(F.col("sure").cast("int")).alias("k")).where((F.col("n") >= CONTEXT_USES) & (F.col("k") >= CONTEXT_SHARE * F.col("n"))).select("context")
+    seen = both.where("context <> ''").select(F.explode(F.split("context", r"\|")).alias("context"), sure.alias("sure"), "family")
+    contexts = seen.groupBy("context").agg(F.count("*").alias("n"), F.sum(F.col("sure").cast("int")).alias("k"), F.countDistinct("family").alias("words"))
+    contexts = contexts.where((F.col("n") >= CONTEXT_USES) & (F.col("k") >= CONTEXT_SHARE * F.col("n")) & (F.col("words") >= COMPANIONS)).select("context")
     return families, givens, materialize(contexts, "contexts")
 
 
