@@ -50,6 +50,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt out to all cores if it has fewer partitions than there are cores.
+
+    One small file is one task otherwise, however much work follows in Python; scans of many files stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, which need not have the repository on their path."""
     sc = spark.sparkContext
