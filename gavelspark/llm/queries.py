@@ -17,20 +17,24 @@ from gavelspark.llm.pair_ranking import policy_games, ranking, strengths
 from gavelspark.llm.personal import found_pieces, redacted
 from gavelspark.llm.split_overlap import overlap_report, split_overlaps
 from gavelspark.llm.token_budget import token_budget
-from gavelspark.session import ship_package
+from gavelspark.session import ship_package, spread
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(_read(spark, sf_dir, name))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Path of a public vocabulary; the folder is a parameter."""
     return os.path.join(os.environ.get("GAVEL_TOKENIZERS", "/opt/tokenizers"), name)
 
 
 def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "evaluate").select("list_id", F.posexplode("candidates").alias("pos", "text"))
+    return _spread(spark, sf_dir, "evaluate").select("list_id", F.posexplode("candidates").alias("pos", "text"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +45,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of lists that occur in train and outside."""
-    found = split_overlaps(_read(spark, sf_dir, "evaluate"), _read(spark, sf_dir, "language_names"))
+    found = split_overlaps(_spread(spark, sf_dir, "evaluate"), _read(spark, sf_dir, "language_names"))
     return found.select(F.least("train_id", "other_id").alias("list_a"), F.greatest("train_id", "other_id").alias("list_b"))
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps with train per split and source."""
-    lists = _read(spark, sf_dir, "evaluate")
+    lists = _spread(spark, sf_dir, "evaluate")
     return overlap_report(split_overlaps(lists, _read(spark, sf_dir, "language_names")), lists)
 
 
@@ -74,22 +78,22 @@ def p2_games(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective sides of preference pairs."""
     labelled = _read(spark, sf_dir, "documents").select(F.col("lang").alias("language"), "text")
-    return pair_defects(_read(spark, sf_dir, "thinkdpo_training"), labelled)
+    return pair_defects(_spread(spark, sf_dir, "thinkdpo_training"), labelled)
 
 
 def p4_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of byte_bpe_50k per source, language and domain."""
-    return token_budget(_read(spark, sf_dir, "evaluate"), _read(spark, sf_dir, "language_names"), CountLattice.of_merges(vocabulary()))
+    return token_budget(_spread(spark, sf_dir, "evaluate"), _read(spark, sf_dir, "language_names"), CountLattice.of_merges(vocabulary()))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under byte_bpe_50k."""
-    return encode_texts(_read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary())
+    return encode_texts(_spread(spark, sf_dir, "documents"), "doc_id", "text", vocabulary())
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a passage of a held-out item."""
-    return leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "heldout_items"))
+    return leaked_items(_spread(spark, sf_dir, "documents"), _read(spark, sf_dir, "heldout_items"))
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +103,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each different piece of personal information of each document."""
-    return found_pieces(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "given_names")).select("doc_id", "kind", "found").distinct()
+    return found_pieces(_spread(spark, sf_dir, "documents"), _read(spark, sf_dir, "given_names")).select("doc_id", "kind", "found").distinct()
 
 
 def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
