@@ -43,7 +43,7 @@ FEW_SHARE = 0.45
 EXPAND = 200
 #: Tables of ids up to this many rows (about 50 MB) are broadcast; larger ones are joined by shuffle.
 MAX_IDS = 500_000
-_VALUE_BITS, _BATCH = np.uint64(48), 1 << 15
+_VALUE_BITS, _BATCH = np.uint64(48), 1 << 13
 
 
 def sketch_batch(texts: list[str | None], k: int) -> tuple[np.ndarray, list[bytes | None], list[np.ndarray]]:

@@ -14,6 +14,7 @@ import xxhash
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 SHINGLE = 3
+GROUP_CHARS = 1_000_000
 _SPACE, _WORD, _OTHER = 0, 1, 2
 _KINDS: list[np.ndarray] = []
 
@@ -43,9 +44,22 @@ def scramble(x: np.ndarray) -> np.ndarray:
 def flat_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all tokens of all texts, one after the other, and the number of tokens of each text.
 
-    The texts are handled as one array of code points: a token's hash is the sum of its code points, each
-    times a random odd word that belongs to its place in the token.
+    Texts are handled in groups of about ``GROUP_CHARS`` characters, each as one array of code points; what is held
+    beside the hashes does not grow with the number of texts.
     """
+    hashes, counts, start, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0
+    for i, text in enumerate(texts):
+        held += len(text or "") + 1
+        if held >= GROUP_CHARS or i + 1 == len(texts):
+            h, c = _group_hashes(texts[start : i + 1])
+            hashes.append(h)
+            counts.append(c)
+            start, held = i + 1, 0
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def _group_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A token's hash is the sum of its code points, each times a random odd word that belongs to its place in the token."""
     lower = [t.lower() if t else "" for t in texts]
     lengths = np.fromiter(map(len, lower), np.int64, len(lower))
     points = np.frombuffer("\n".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -93,7 +107,7 @@ def shingle_set(text: str | None) -> set[tuple[str, str, str]]:
 def similarities(a: list[str | None], b: list[str | None], threshold: float) -> np.ndarray:
     """Similarity of a[i] and b[i]. Hashed shingles decide, except within 0.02 of ``threshold``, where the shingles themselves do."""
     n, out = len(a), []
-    step = 1 << 14
+    step = 1 << 12
     for k in range(0, n, step):
         x, y = a[k : k + step], b[k : k + step]
         keys, sizes = [], []
