@@ -218,3 +218,36 @@ def flat(pairs: DataFrame, ids: list[str], names: list[str]) -> DataFrame:
         return [F.col(f"{x}.{c}").alias(f"{n}_{x}") for c, n in zip(ids, names)]
 
     return pairs.select(*parts("a"), *parts("b"))
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) of every node of edges (a, b), root being the smallest node that it is connected with.
+
+    Alternating large and small stars: each round hangs the neighbours of a node on the smallest of them, until
+    nothing changes; the number of rounds grows with the logarithm of the longest chain. A round is two
+    aggregations and two joins on nodes, no neighbourhood is collected, and its edges are a table in the shared folder.
+    """
+    now = materialize(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct(), "star")
+    seen = None
+    for _ in range(rounds):
+        both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select("hi", "lo"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
+        below = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        small = large.select(F.col("hi").alias("u"), F.col("lo").alias("v")).join(below, "u")
+        hung = small.select(F.col("m").alias("lo"), F.col("v").alias("hi")).union(small.select("m", "u"))
+        now = materialize(hung.where("lo <> hi").distinct(), "star")
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+        if mark == seen:
+            break
+        seen = mark
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+
+
+def groups(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, rep, root, links) of every text: its class, its group of near-same texts, and links of its class to other classes."""
+    links = materialize(links.select("a", "b"), "links")
+    roots = components(links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    about = roots.join(degree, "node").withColumnRenamed("node", "rep")
+    return members.join(about, "rep", "left").select("id", "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -86,6 +86,13 @@ def p4_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_budget(_spread(spark, sf_dir, "evaluate"), _read(spark, sf_dir, "language_names"), CountLattice.of_merges(vocabulary()))
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every program with its class of equal programs, its group of near-same ones and its number of links."""
+    links, members = nd.near_duplicates(_programs(spark, sf_dir), ["list_id", "pos"], "text")
+    g = nd.groups(links, members)
+    return g.select("id.list_id", "id.pos", F.col("rep.list_id").alias("class_list"), F.col("rep.pos").alias("class_pos"), F.col("root.list_id").alias("group_list"), F.col("root.pos").alias("group_pos"), "links")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under byte_bpe_50k."""
     return encode_texts(_spread(spark, sf_dir, "documents"), "doc_id", "text", vocabulary())
@@ -111,7 +118,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted(_read(spark, sf_dir, "documents"), p8_found(spark, sf_dir), _read(spark, sf_dir, "given_names"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_probit": p2_probit, "p2_games": p2_games, "p3_found": p3_found, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_probit": p2_probit, "p2_games": p2_games, "p3_found": p3_found, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
