@@ -42,7 +42,7 @@ samp AS (SELECT list_id, n, chosen_position, chosen_answer, coalesce(chosen_answ
 comp AS (SELECT list_id, k, n, chosen_position, chosen_answer, pass_rates, {_TEXT} AS text FROM samp),
 digits AS (SELECT c.list_id, k.k, string_agg(CAST((CAST(floor(coalesce(c.pass_rate, 0)*10) AS INT) + (c.list_id + k.k + c.pos) % 3) % 12 AS VARCHAR), ', ' ORDER BY c.pos) AS digits FROM cand c CROSS JOIN (SELECT k FROM ks WHERE k < 4) k GROUP BY c.list_id, k.k),
 scores AS (SELECT list_id, k, n, chosen_position, pass_rates, {_SCORE_TEXT} AS text FROM (SELECT l.list_id, d.k, l.n, l.chosen_position, l.pass_rates, d.digits, CAST((l.list_id*7 + d.k*3) % 17 AS INT) AS h FROM lists l JOIN digits d ON l.list_id = d.list_id) z),
-verdicts AS (SELECT list_id, i, j, raw, CASE WHEN winner = i OR winner = j THEN winner END AS winner FROM (SELECT *, row_number() OVER (PARTITION BY list_id, i, j ORDER BY record_id, received_at) AS rn FROM ranking_consistency WHERE list_id IS NOT NULL AND i < j) z WHERE rn = 1),
+verdicts AS (SELECT list_id, i, j, CASE WHEN winner = i OR winner = j THEN winner END AS winner FROM (SELECT *, row_number() OVER (PARTITION BY list_id, i, j ORDER BY record_id, received_at) AS rn FROM ranking_consistency WHERE list_id IS NOT NULL AND i < j) z WHERE rn = 1),
 prefs AS (SELECT DISTINCT list_id, winner, CASE WHEN winner = i THEN j ELSE i END AS loser FROM verdicts WHERE winner IS NOT NULL),
 wins AS (SELECT c.list_id, c.pos, c.pass_rate, c.n, coalesce(w.wins, 0) AS wins FROM cand c LEFT JOIN (SELECT list_id, winner AS pos, count(*) AS wins FROM prefs GROUP BY ALL) w ON c.list_id = w.list_id AND c.pos = w.pos WHERE c.list_id IN (SELECT list_id FROM prefs)),
 executions AS (SELECT prob_id, cand, tc_id, {_STDOUT} AS stdout, {_EXPECTED} AS expected, CAST(CASE WHEN NOT good AND (prob_id + tc_id) % 7 = 0 THEN 1 ELSE 0 END AS INT) AS rc FROM (SELECT list_id AS prob_id, pos AS cand, k AS tc_id, k < coalesce(pass_rate, 0)*4 AS good FROM cand CROSS JOIN (SELECT k FROM ks WHERE k < 4) t) z),
@@ -109,8 +109,9 @@ class Frames:
     @cached_property
     def verdicts(self) -> DataFrame:
         raw = self.table("ranking_consistency").where("list_id is not null and i < j")
-        first = raw.groupBy("list_id", "i", "j").agg(F.min(F.struct("record_id", "received_at", "raw", "winner")).alias("r"))
-        return first.select("list_id", "i", "j", "r.raw", F.when((F.col("r.winner") == F.col("i")) | (F.col("r.winner") == F.col("j")), F.col("r.winner")).alias("winner"))
+        # buffers of fixed width, so the aggregation hashes and combines before the shuffle
+        first = raw.groupBy("list_id", "i", "j").agg(F.min_by("winner", "record_id").alias("w"))
+        return first.select("list_id", "i", "j", F.when((F.col("w") == F.col("i")) | (F.col("w") == F.col("j")), F.col("w")).alias("winner"))
 
     @cached_property
     def prefs(self) -> DataFrame:
