@@ -87,12 +87,23 @@ def build_codegen_prompt(query: Column, starter: Column, functional: Column, tem
     return F.array(message("user", F.concat(F.lit(templates["system"] + "\n\n"), body)))
 
 
-def build_list_prompt(query: Column, candidates: Column, n: Column, scoring: bool, thinking: bool, templates: dict[str, str] = TEMPLATES) -> Column:
-    """Messages for choosing among up to eight programs."""
-    user = fill(templates["list_score" if scoring else "select"], language=F.lit("python"), candidates=label_candidates(candidates, n, F.lit("python"), X.LETTERS), query=X.strip_html(query))
+def _judge(query: Column, blocks: Column, template: str, scoring: bool, thinking: bool, templates: dict[str, str]) -> Column:
+    user = message("user", fill(templates[template], language=F.lit("python"), candidates=blocks, query=X.strip_html(query)))
     if thinking:
-        return F.array(message("user", user), message("assistant", F.lit(OPEN_THINK)))
-    return F.array(message("system", F.lit(templates["system"])), message("user", user))
+        return F.array(user, message("assistant", F.lit(OPEN_THINK)))
+    return F.array(user) if scoring else F.array(message("system", F.lit(templates["system"])), user)
+
+
+def build_list_prompt(query: Column, candidates: Column, n: Column, scoring: bool, thinking: bool, templates: dict[str, str] = TEMPLATES) -> Column:
+    """Messages for choosing among up to eight programs: thinking styles are opened, plain ones get the system text unless they score."""
+    blocks = label_candidates(candidates, n, F.lit("python"), X.LETTERS)
+    return _judge(query, blocks, "list_score" if scoring else "select", scoring, thinking, templates)
+
+
+def build_pair_prompt(query: Column, code_a: Column, code_b: Column, scoring: bool, thinking: bool, templates: dict[str, str] = TEMPLATES) -> Column:
+    """As ``build_list_prompt`` for two programs; scores are asked for in the form of lists."""
+    blocks = label_candidates(F.array(code_a, code_b), F.lit(2), F.lit("python"))
+    return _judge(query, blocks, "list_score" if scoring else "select", scoring, thinking, templates)
 
 
 def pick_continuation(completions: Column, key: Column) -> Column:

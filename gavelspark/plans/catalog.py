@@ -208,6 +208,15 @@ def build_list_prompt(f):
     return f.lists.select("list_id", m[0]["content"].alias("content"))
 
 
+_TWO = "SELECT list_id, 'q' AS query, 'python' AS language, concat('[CANDIDATE_A]', chr(10), '```python', chr(10), coalesce(candidates[1], ''), chr(10), '```', chr(10), '[/CANDIDATE_A]', chr(10), chr(10), '[CANDIDATE_B]', chr(10), '```python', chr(10), coalesce(candidates[2], ''), chr(10), '```', chr(10), '[/CANDIDATE_B]') AS labelled FROM lists"
+
+
+@query(f"SELECT list_id, CAST(2 AS INT) AS messages, 'system' AS role0, '{_T['system']}' AS content0, 'user' AS role1, {_with_newlines(_filled('select'))} AS content1 FROM ({_TWO}) z")
+def build_pair_prompt(f):
+    first, second = F.get("candidates", F.lit(0)), F.get("candidates", F.lit(1))
+    return f.lists.select("list_id", *_prompt_columns(P.build_pair_prompt(F.lit("q"), first, second, scoring=False, thinking=False)))
+
+
 @query("SELECT list_id, k, CASE WHEN strpos(text, chr(92) || 'boxed{') > 0 THEN substr(text, 1, strpos(text, chr(92) || 'boxed{') + 6) END AS cut FROM comp")
 def truncate_at_boxed(f):
     return f.comp.select("list_id", "k", X.truncate_at_boxed(_col("text")).alias("cut"))

@@ -137,6 +137,9 @@ def test_prompts(spark):
     assert roles(P.build_prompt(*args, "x-Instruct")) == ["system", "user"]
     assert roles(P.build_prompt(*args, "lrm")) == ["user", "assistant"]
     assert roles(P.build_prompt_train(*args, thinking=True)) == ["user", "assistant"]
+    listed = lambda scoring, thinking: roles(P.build_list_prompt(F.lit("<p>q</p>"), cands, F.lit(3), scoring, thinking))
+    assert [listed(s, t) for s in (False, True) for t in (False, True)] == [["system", "user"], ["user", "assistant"], ["user"], ["user", "assistant"]]
+    assert roles(P.build_pair_prompt(F.lit("q"), F.lit("a"), F.lit("b"), False, False)) == ["system", "user"]
     messages = F.array(P.message("user", F.lit("u")))
     assert [x.content for x in get(P.extend_messages(messages, F.lit("t")))] == ["u", "t"]
     assert get(P.pick_continuation(F.array(F.lit("no"), F.lit(r"a\boxed{B}")), F.lit(5))) == r"a\boxed{"
