@@ -39,6 +39,8 @@ LEAST_SHARED, RANK_GAP = 2, 8
 LEAST_ESTIMATE = 0.4
 #: Texts with at most this share of their sketch outside the long lists take the second way.
 FEW_SHARE = 0.45
+#: Counters of the order of the second way (a power of two); shingles on one counter share a place in the order, which stays exact.
+COUNTERS = 1 << 22
 #: Classes of copies up to this size are written out as pairs; of larger ones each member is paired with the representative.
 EXPAND = 200
 #: Tables of ids up to this many rows (about 50 MB) are broadcast; larger ones are joined by shuffle.
@@ -138,6 +140,81 @@ def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     return a.join(b, "v").where((F.col("a") < F.col("b")) & by_size).select("a", "b").distinct()
 
 
+def _prefixer(ids: list[str], counts, threshold: float, schema: pa.Schema):
+    """Rows (ids, salt, text) to (ids, salt, cls, n, v, at): the prefix of each text, without shingles that no counted text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, _BATCH):
+                batch = whole.slice(at, _BATCH)
+                sizes, keys, found = sketch_batch(batch.column(len(ids) + 1).to_pylist(), 1 << 62)
+                if not sizes.sum():
+                    continue
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                v = salted(np.concatenate(found), owner, batch.column(len(ids)).to_pylist())
+                seen = table[v & (len(table) - 1)]
+                order = np.lexsort((v, seen, owner))
+                v, seen = v[order], seen[order]
+                place = np.arange(len(v)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+                n = sizes[owner]
+                keep = (seen > 0) & (place <= n - np.ceil(n * threshold - 1e-9) + 1)
+                per = np.bincount(owner[keep], minlength=len(sizes))
+                rows = np.flatnonzero(per)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(per[rows]))), pa.int32())
+                columns = [batch.column(i).take(pa.array(rows)) for i in range(len(ids) + 1)]
+                columns += [pa.array([keys[i] for i in rows], pa.binary()), pa.array(sizes[rows])]
+                columns += [pa.ListArray.from_arrays(offsets, pa.array(x[keep], pa.int64())) for x in (v, place)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
+def salted(values: np.ndarray, owner: np.ndarray, salts: list[str | None]) -> np.ndarray:
+    """Values of the texts ``owner``; texts with different salts share none."""
+    salt = np.array([xxhash.xxh3_64_intdigest(x) if x is not None else 0 for x in salts], np.uint64)
+    return (S.scramble(values.view(np.uint64) ^ salt[owner]) >> np.uint64(16)).view(np.int64)
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, _BATCH):
+            batch = whole.slice(at, _BATCH)
+            sizes, _, found = sketch_batch(batch.column(1).to_pylist(), 1 << 62)
+            if sizes.sum():
+                v = salted(np.concatenate(found), np.repeat(np.arange(len(sizes)), sizes), batch.column(0).to_pylist())
+                slots, seen = np.unique(v & (COUNTERS - 1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(seen, pa.int64())], ["slot", "seen"])
+
+
+def few_to_all(few_texts: DataFrame, texts: DataFrame, ids: list[str], reps: DataFrame, few: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) that can reach ``threshold`` of one of the ``few`` dids and any did of ``reps``, both ways round.
+
+    ``few_texts`` has (salt, text) of the few, ``texts`` (ids, salt, text) of all, ``reps`` (did, id, salt, cls) with the
+    key of the token sequence; texts of different salt do not pair. Exact: the prefix filter holds for every fixed
+    order of the shingles. Only the prefixes leave the scan, and of them only shingles that one of the few may have:
+    a text whose first places are all taken by others resembles none of them. The counters have a fixed size.
+    """
+    spark = texts.sparkSession
+    seen = few_texts.mapInArrow(_counter, "slot int, seen long").groupBy("slot").agg(F.least(F.sum("seen"), F.lit((1 << 31) - 1)).cast("int").alias("seen")).toArrow()
+    table = np.zeros(COUNTERS, np.int32)
+    table[seen["slot"].to_numpy()] = seen["seen"].to_numpy()
+    counts = spark.sparkContext.broadcast(table)
+    out = T.StructType([*(texts.schema[c] for c in ids), T.StructField("salt", T.StringType()), T.StructField("cls", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("v", T.ArrayType(T.LongType(), False)), T.StructField("at", T.ArrayType(T.IntegerType(), False))])
+    found = texts.select(*ids, "salt", "text").mapInArrow(_prefixer(ids, counts, threshold, to_arrow_schema(out)), out)
+    found = found.select(F.struct(*ids).alias("id"), "salt", "cls", "n", "v", "at").alias("f")
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("id", "salt", "cls")]
+    posts = found.join(reps.alias("r"), same).select("did", "n", F.arrays_zip("v", "at").alias("z")).dropDuplicates(["did"])
+    posts = materialize(posts.join(checked_broadcast(few.withColumn("few", F.lit(True)), MAX_IDS), "did", "left"), "prefixes")
+    posts = posts.select("did", "n", "few", F.explode("z").alias("z")).select("did", "n", "few", F.col("z.v").alias("v"), F.col("z.at").alias("at"))
+    a = posts.where("few").select("v", F.col("did").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    b = posts.select("v", F.col("did").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    # the first common shingle and all after it must make up the overlap that the threshold asks for
+    enough = (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) * (1 + threshold) >= (F.col("na") + F.col("nb")) * threshold - 1e-6
+    by_size = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
+    return a.join(b, "v").where((F.col("a") != F.col("b")) & by_size & enough).select("a", "b").distinct()
+
+
 def _similarity(threshold: float):
     @F.pandas_udf(T.DoubleType())
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:

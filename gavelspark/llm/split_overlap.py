@@ -7,7 +7,7 @@ the seeds of the chain are extended token by token, and the exact similarity of
 Very short queries are fingerprinted by all their shingles.
 
 Fingerprints that would pair more than ``MAX_PRODUCT`` records (stock phrases) are not joined; records that have
-few others take an exact second way, the prefix filter over all shingles. Identical records form a class that
+few others are joined with all records by an exact second way, the prefix filter over all shingles. Identical records form a class that
 is compared once. Only counts, fingerprints and the records of candidate pairs are shuffled.
 """
 
@@ -37,7 +37,8 @@ MAX_PRODUCT = 48
 #: Fewest seeds in the chain of a pair (one is enough for short queries).
 LEAST_CHAIN = 2
 #: Records with at most so many, or this share, of their fingerprints outside the stock phrases take the second way.
-FEW, FEW_SHARE = 10, 0.35
+#: A pair is left to the fingerprints only if both records have more; scattered edits at similarity 0.6 leave about 0.4 of its own to each.
+FEW, FEW_SHARE = 10, 0.65
 _SEEDS = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
 _SHORT_SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -81,9 +82,11 @@ def _fingerprinter(id_type: pa.DataType):
             h = S.scramble(h ^ salts[owner]).view(np.int64) if len(h) else h.view(np.int64)
             per = np.bincount(owner, minlength=len(texts))
             offsets = pa.array(np.concatenate(([0], np.cumsum(per))), pa.int32())
+            ends = np.cumsum(counts)
+            texts_keys = [xxhash.xxh3_128_digest(flat[e - c : e].tobytes()) for c, e in zip(counts, ends)]
             keys = _keys(flat, counts, groups, train.to_pylist(), language.to_pylist())
-            out = [ids.cast(id_type), train, pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(out, names=["id", "train", "cls", "n", "marks", "places"])
+            out = [ids.cast(id_type), train, pa.array(keys, pa.binary()), language, pa.array(texts_keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "train", "cls", "language", "query_key", "n", "marks", "places"])
 
     return run
 
@@ -209,7 +212,7 @@ def split_overlaps(lists: DataFrame, names: DataFrame, threshold: float = 0.6) -
     known = canonical(F.col("language"), names, lists.select("list_id", "split", "language", "query", "candidates"), "language").where("language is not null and query is not null and list_id is not null")
     known = known.select("list_id", F.coalesce(F.col("split") == "train", F.lit(False)).alias("train"), "language", "query", "candidates")
     id_field = known.schema["list_id"]
-    schema = T.StructType([T.StructField("id", id_field.dataType), T.StructField("train", T.BooleanType()), T.StructField("cls", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("marks", T.ArrayType(T.LongType(), False)), T.StructField("places", T.ArrayType(T.IntegerType(), False))])
+    schema = T.StructType([T.StructField("id", id_field.dataType), T.StructField("train", T.BooleanType()), T.StructField("cls", T.BinaryType()), T.StructField("language", T.StringType()), T.StructField("query_key", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("marks", T.ArrayType(T.LongType(), False)), T.StructField("places", T.ArrayType(T.IntegerType(), False))])
     table = known.mapInArrow(_fingerprinter(to_arrow_type(id_field.dataType)), schema).where("n > 0")
     table = materialize(table.withColumn("did", F.monotonically_increasing_id()), "marks")
     slim = table.select("did", "id", "cls")
@@ -226,12 +229,13 @@ def split_overlaps(lists: DataFrame, names: DataFrame, threshold: float = 0.6) -
     pairs, few = materialize(pairs, "seeded"), materialize(few, "few")
     one = slim.join(others, "did", "left_anti").select("did", "id")
     if not few.isEmpty():
-        chosen = reps.join(checked_broadcast(few, nd.MAX_IDS), "did", "left_semi").select("did", "id", "train")
-        texts = _content(known, chosen).select("did", F.col("query").alias("text"))
-        sides = chosen.select("did", "train")
-        more = nd.prefix_pairs(materialize(texts, "fewtexts"), threshold)
+        chosen = reps.join(checked_broadcast(few, nd.MAX_IDS), "did", "left_semi").select("did", "id", "language")
+        texts = chosen.join(_content(known, chosen), "did").select(F.col("language").alias("salt"), F.col("query").alias("text"))
+        keyed = reps.select("did", F.struct(F.col("id").alias("list_id")).alias("id"), F.col("language").alias("salt"), F.col("query_key").alias("cls"))
+        more = nd.few_to_all(texts, known.select("list_id", F.col("language").alias("salt"), F.col("query").alias("text")), ["list_id"], keyed, few, threshold)
+        sides = reps.select("did", "train")
         more = more.join(sides.select(F.col("did").alias("a"), F.col("train").alias("x")), "a").join(sides.select(F.col("did").alias("b"), F.col("train").alias("y")), "b").where("x <> y")
-        more = more.select(F.when(F.col("x"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("x"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        more = more.select(F.when(F.col("x"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("x"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
         more = more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", F.lit(None).cast(_SEEDS).alias("seeds"))
         pairs = materialize(pairs.union(more), "allseeded")
     need = materialize(one.join(checked_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct(), nd.MAX_IDS), "did", "left_semi"), "need")

@@ -149,6 +149,22 @@ def test_stock_phrases_take_the_second_way(spark):
     assert overlaps(spark, rows) == brute_lists(rows)
 
 
+def test_stock_phrases_meet_records_of_their_own(spark):
+    rng = random.Random(8)
+    rows = []
+    for f in range(4):
+        stock = [f"s{f}_{i}" for i in range(90)]
+        for i in range(30):
+            own = [f"o{f}_{i}_{k}" for k in range(rng.randint(36, 48) if i % 3 == 0 else rng.randint(1, 4))]
+            rows.append((len(rows), "train" if i % 2 else "adv", "s", "go" if f else rng.choice(["go", "python"]), " ".join(stock + own), ["a b c d e"], "c", "v"))
+        for i in range(30):
+            c = list(stock)
+            for k in rng.sample(range(90), rng.randint(2, 8)):
+                c[k] = f"e{f}_{i}_{k}"
+            rows.append((len(rows), "train" if i % 2 else "adv", "s", "go", " ".join(c), ["a b c d e"], "c", "v"))
+    assert overlaps(spark, rows) == brute_lists(rows)
+
+
 def test_chain_and_extension():
     assert so.chain([0, 5, 9, 3], [0, 5, 2, 30]) in ([(0, 0), (5, 5)], [(0, 0), (3, 30)], [(0, 0), (9, 2)])
     a, b = "x a b c d y".split(), "q a b c d z w".split()
