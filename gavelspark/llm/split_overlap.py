@@ -206,8 +206,8 @@ def split_overlaps(lists: DataFrame, names: DataFrame, threshold: float = 0.6) -
     a counterpart of such similarity. Null languages, null or blank queries and lists without candidates match
     nothing; a null candidate counts as an entry without counterpart; a null split is not train. Deliveries of
     the same list count once; if they differ, the one with the smallest content key counts. An empty table gives
-    no rows; other columns are not read. Copies of a record are written out up to ``near_duplicates.EXPAND`` of
-    a class on either side; of larger classes the representative stands for all.
+    no rows; other columns are not read. Every copy of a record is written out, on
+    both sides: a class of m records that overlaps one of n gives m n rows.
     """
     known = canonical(F.col("language"), names, lists.select("list_id", "split", "language", "query", "candidates"), "language").where("language is not null and query is not null and list_id is not null")
     known = known.select("list_id", F.coalesce(F.col("split") == "train", F.lit(False)).alias("train"), "language", "query", "candidates")
@@ -246,9 +246,8 @@ def split_overlaps(lists: DataFrame, names: DataFrame, threshold: float = 0.6) -
     for x in "ab":
         found = found.join(need.select(F.col("did").alias(x), F.col("id").alias(f"i{x}")), x)
     found = found.select(F.col("ia").alias("train_id"), F.col("ib").alias("other_id"), "similarity", "coverage")
-    few_copies = copied.join(copied.groupBy("rep").agg(F.count("*").alias("copies")).where(F.col("copies") <= nd.EXPAND).select("rep"), "rep")
     for x in ("train_id", "other_id"):
-        found = found.join(few_copies.select(F.col("rep").alias(x), F.col("id").alias("copy")), x, "left").withColumn(x, F.coalesce("copy", x)).drop("copy")
+        found = found.join(copied.select(F.col("rep").alias(x), F.col("id").alias("copy")), x, "left").withColumn(x, F.coalesce("copy", x)).drop("copy")
     return found
 
 

@@ -165,6 +165,15 @@ def test_stock_phrases_meet_records_of_their_own(spark):
     assert overlaps(spark, rows) == brute_lists(rows)
 
 
+def test_every_copy_of_a_record_comes_out(spark):
+    query = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, "train" if i < 2 else ("hard" if i % 2 else "adv"), f"s{i % 3}", "go", query, ["a b c d e"], "c", "v") for i in range(252)]
+    assert overlaps(spark, rows) == {(a, b) for a in (0, 1) for b in range(2, 252)}
+    df, names = spark.createDataFrame(rows, LISTS), spark.createDataFrame(NAMES, "spelling string, canonical string")
+    report = so.overlap_report(so.split_overlaps(df, names), df).collect()
+    assert len(report) == 6 and sum(r.lists for r in report) == 250 and sum(r.pairs for r in report) == 500
+
+
 def test_chain_and_extension():
     assert so.chain([0, 5, 9, 3], [0, 5, 2, 30]) in ([(0, 0), (5, 5)], [(0, 0), (3, 30)], [(0, 0), (9, 2)])
     a, b = "x a b c d y".split(), "q a b c d z w".split()
