@@ -7,8 +7,8 @@ both sketches, and the exact Jaccard index decides.
 
 A value on more than ``MAX_LIST`` sketches (boilerplate, or a large family of variants) would make a list whose
 pairs are quadratic, so such lists are not joined. Texts whose sketch holds few other values would lose their
-way into the lists; they go through an exact second way: among them all shingles are ordered from rare to
-common, and two texts of similarity t must share one among the first (1 - t) of each (prefix filter).
+way into the lists; they go through an exact second way together with all texts: shingles are ordered from rare to
+common among the few, and two texts of similarity t must share one among the first (1 - t) of each (prefix filter).
 
 Skew: lists are counted with map-side combining, and long ones leave before the join; no group is collected. Lineage is cut by tables in the shared checkpoint folder.
 """
@@ -37,10 +37,10 @@ MAX_LIST = 16
 LEAST_SHARED, RANK_GAP = 2, 8
 #: Least estimate of the similarity; it counts all values on long lists as shared. At a true similarity of 0.65 the estimate from 24 values has a standard deviation of 0.1.
 LEAST_ESTIMATE = 0.4
-#: Texts with at most this share of their sketch outside the long lists take the second way.
-FEW_SHARE = 0.45
+#: Texts with at most this share of their sketch outside the long lists take the second way. A pair is left to the lists only if both texts have more.
+FEW_SHARE = 0.5
 #: Counters of the order of the second way (a power of two); shingles on one counter share a place in the order, which stays exact.
-COUNTERS = 1 << 22
+COUNTERS = 1 << 24
 #: Classes of copies up to this size are written out as pairs; of larger ones each member is paired with the representative.
 EXPAND = 200
 #: Tables of ids up to this many rows (about 50 MB) are broadcast; larger ones are joined by shuffle.
@@ -197,8 +197,9 @@ def few_to_all(few_texts: DataFrame, texts: DataFrame, ids: list[str], reps: Dat
     """
     spark = texts.sparkSession
     seen = few_texts.mapInArrow(_counter, "slot int, seen long").groupBy("slot").agg(F.least(F.sum("seen"), F.lit((1 << 31) - 1)).cast("int").alias("seen")).toArrow()
-    table = np.zeros(COUNTERS, np.int32)
-    table[seen["slot"].to_numpy()] = seen["seen"].to_numpy()
+    table, much = np.zeros(COUNTERS, np.uint8), seen["seen"].to_numpy()
+    # one byte a counter: exact up to 128, then eight steps for each doubling
+    table[seen["slot"].to_numpy()] = np.minimum(255, np.where(much <= 128, much, 128 + np.floor(8 * np.log2(np.maximum(much, 128) / 128))))
     counts = spark.sparkContext.broadcast(table)
     out = T.StructType([*(texts.schema[c] for c in ids), T.StructField("salt", T.StringType()), T.StructField("cls", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("v", T.ArrayType(T.LongType(), False)), T.StructField("at", T.ArrayType(T.IntegerType(), False))])
     found = texts.select(*ids, "salt", "text").mapInArrow(_prefixer(ids, counts, threshold, to_arrow_schema(out)), out)
@@ -252,7 +253,10 @@ def near_duplicates(df: DataFrame, ids: list[str], text: str, threshold: float =
     pairs, few = materialize(pairs, "pairs"), materialize(few, "few")
     texts = df.select(one.alias("id"), F.col(text).alias("text"))
     if not few.isEmpty():
-        pairs = pairs.union(prefix_pairs(_texts_of(texts, slim, few), threshold)).distinct()
+        keyed = table.join(checked_broadcast(others, MAX_IDS), "did", "left_anti").select("did", one.alias("id"), F.lit(None).cast("string").alias("salt"), "cls")
+        salt = F.lit(None).cast("string").alias("salt")
+        more = few_to_all(_texts_of(texts, slim, few).select(salt, "text"), df.select(*ids, salt, F.col(text).alias("text")), ids, keyed, few, threshold)
+        pairs = pairs.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
         pairs = materialize(pairs, "allpairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct()
     held = materialize(_texts_of(texts, slim, need, with_id=True), "texts")

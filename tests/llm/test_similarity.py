@@ -63,6 +63,17 @@ def test_families_of_variants_take_the_second_way(spark):
     assert found(spark, [(a, b, t, "", "") for (a, b), t in texts.items()]) == brute(texts, 0.6)
 
 
+def test_families_meet_variants_of_their_own(spark):
+    rng = random.Random(1)
+    texts = {}
+    for f in range(10):
+        base = [f"b{f}_{i}" for i in range(100)]
+        for i in range(30):
+            own = [f"o{f}_{i}_{k}" for k in range(rng.randint(44, 54) if i % 4 == 0 else rng.randint(1, 5))]
+            texts[(len(texts), 0)] = " ".join(base + own)
+    assert found(spark, [(a, b, t, "", "") for (a, b), t in texts.items()]) == brute(texts, 0.6)
+
+
 def test_very_long_and_empty(spark):
     long = " ".join(f"t{i}" for i in range(60_000))
     got = found(spark, [(1, 0, long, "", ""), (2, 0, long + " end", "", ""), (3, 0, "t1 t2 t3", "", "")])
