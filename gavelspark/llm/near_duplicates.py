@@ -41,8 +41,6 @@ LEAST_ESTIMATE = 0.4
 FEW_SHARE = 0.5
 #: Counters of the order of the second way (a power of two); shingles on one counter share a place in the order, which stays exact.
 COUNTERS = 1 << 24
-#: Classes of copies up to this size are written out as pairs; of larger ones each member is paired with the representative.
-EXPAND = 200
 #: Tables of ids up to this many rows (about 50 MB) are broadcast; larger ones are joined by shuffle.
 MAX_IDS = 500_000
 _VALUE_BITS, _BATCH = np.uint64(48), 1 << 13
@@ -274,13 +272,14 @@ def _texts_of(texts: DataFrame, slim: DataFrame, dids: DataFrame, with_id: bool
     return found.groupBy("did").agg(F.first("id").alias("id"), F.min("text").alias("text")).select("did", *["id"] * with_id, "text")
 
 
-def expand(links: DataFrame, members: DataFrame, limit: int = EXPAND) -> DataFrame:
-    """Pairs (a, b) of texts, a < b: links between all members of classes up to ``limit`` members and the
-    copies within them. Of a larger class the representative stands for all in links to other texts,
-    and each copy is paired with it."""
+def expand(links: DataFrame, members: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pairs (a, b) of texts, a < b: links between all members of classes and the copies within them.
+
+    A class is one token sequence, so its members may differ in case and layout. With a ``limit`` the representative
+    of a class of more members stands for all in links to other texts, and each copy is paired with it only."""
     copies = members.where(F.col("id") != F.col("rep"))
     sizes = copies.groupBy("rep").agg(F.count("*").alias("copies"))
-    few = copies.join(sizes.where(F.col("copies") < limit).select("rep"), "rep")
+    few = copies if limit is None else copies.join(sizes.where(F.col("copies") < limit).select("rep"), "rep")
     side = lambda x: few.select(F.col("rep").alias(x), F.col("id").alias(f"{x}_copy"))
     every = lambda x: F.explode(F.array_compact(F.array_append(F.coalesce(f"{x}_all", F.array()), F.col(x))))
     lists = {x: side(x).groupBy(x).agg(F.collect_list(f"{x}_copy").alias(f"{x}_all")) for x in "ab"}

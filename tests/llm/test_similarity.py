@@ -89,6 +89,12 @@ def test_large_classes_are_starred(spark):
     assert nd.expand(links, members, limit=200).count() == 66
 
 
+def test_large_classes_are_written_out(spark):
+    forms = ["Same program text here\n", "same program   text here", "same program text here and"]
+    texts = {(i, 0): forms[i % 3 if i < 9 else i % 2] for i in range(230)}
+    assert found(spark, [(a, b, t, "", "") for (a, b), t in texts.items()]) == brute(texts, 0.6)
+
+
 def test_prefix_filter_is_exact(spark):
     rng = random.Random(3)
     texts = dict(enumerate(variants(rng, 30, 25)))
