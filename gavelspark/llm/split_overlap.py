@@ -139,6 +139,16 @@ def extend(a: list[str], b: list[str], seeds: list[tuple[int, int]]) -> tuple[in
     return int(in_a.sum()), int(in_b.sum())
 
 
+def common_seeds(a: str, b: str) -> list[tuple[int, int]]:
+    """The chain of all fingerprints, stock ones too, that a and b share; of their shingles if they share no fingerprint."""
+    flat, counts = S.flat_hashes([a, b])
+    for h, owner, place in (winnow(flat, counts)[:3], _once(*S.runs(flat, counts, S.SHINGLE))):
+        _, i, j = np.intersect1d(h[owner == 0], h[owner == 1], assume_unique=True, return_indices=True)
+        if len(i):
+            return chain(place[owner == 0][i], place[owner == 1][j])
+    return []
+
+
 @F.pandas_udf(_SEEDS)
 def _chained(seeds: pd.Series) -> pd.Series:
     out = []
@@ -149,7 +159,7 @@ def _chained(seeds: pd.Series) -> pd.Series:
 
 
 def _seeded_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a in train, b outside, seeds) and the dids of the second way, from reps (did, train, n, marks, places)."""
+    """(a in train, b outside) and the dids of the second way, from reps (did, train, n, marks, places)."""
     posts = reps.select("did", "train", "n", F.arrays_zip("marks", "places").alias("z")).select("did", "train", "n", F.explode("z").alias("z")).select("did", "train", "n", F.col("z.marks").alias("v"), F.col("z.places").alias("at"))
     sides = posts.groupBy("v").agg(F.sum(F.col("train").cast("long")).alias("t"), F.count("*").alias("all"))
     stock = sides.where(F.col("t") * (F.col("all") - F.col("t")) > MAX_PRODUCT).select("v")
@@ -161,7 +171,7 @@ def _seeded_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_size = (F.col("na") * 5 >= F.col("nb") * 3) & (F.col("nb") * 5 >= F.col("na") * 3)
     pairs = a.join(b, "v").where(by_size).groupBy("a", "b").agg(seeds.alias("seeds"), F.min(F.least("na", "nb")).alias("n"))
     pairs = pairs.where((F.size("seeds") >= LEAST_CHAIN) | (F.col("n") <= SHORT)).withColumn("seeds", _chained("seeds"))
-    pairs = pairs.where((F.size("seeds") >= LEAST_CHAIN) | (F.col("n") <= SHORT)).select("a", "b", "seeds")
+    pairs = pairs.where((F.size("seeds") >= LEAST_CHAIN) | (F.col("n") <= SHORT)).select("a", "b")
     marks = posts.join(stock, "v").groupBy("did").agg(F.count("*").alias("stock"))
     sizes = reps.select("did", F.size("marks").alias("marks"))
     left = F.col("marks") - F.col("stock")
@@ -183,13 +193,12 @@ def _judge(threshold: float):
                     right += list(y)
             close = S.similarities(left, right, threshold) >= threshold
             keep, coverage = [], []
-            for (start, m, n), qa, qb, seeds in zip(spans, f.qa, f.qb, f.seeds):
+            for (start, m, n), qa, qb in zip(spans, f.qa, f.qb):
                 grid = close[start : start + m * n].reshape(m, n)
                 a, b = int(grid.any(axis=1).sum()), int(grid.any(axis=0).sum())
                 keep.append((m > n or 2 * a >= m) and (n > m or 2 * b >= n))
                 ta, tb = S.tokens(qa), S.tokens(qb)
-                pairs = [(s["i"], s["j"]) for s in seeds] if seeds is not None else [(i, i) for i in range(min(len(ta), len(tb)))]
-                coverage.append(extend(ta, tb, pairs)[1] / max(1, len(tb)))
+                coverage.append(extend(ta, tb, common_seeds(qa, qb))[1] / max(1, len(tb)))
             f = f.assign(coverage=coverage)[np.array(keep, bool)] if len(f) else f.assign(coverage=[])
             yield f[["a", "b", "similarity", "coverage"]]
 
@@ -236,12 +245,12 @@ def split_overlaps(lists: DataFrame, names: DataFrame, threshold: float = 0.6) -
         sides = reps.select("did", "train")
         more = more.join(sides.select(F.col("did").alias("a"), F.col("train").alias("x")), "a").join(sides.select(F.col("did").alias("b"), F.col("train").alias("y")), "b").where("x <> y")
         more = more.select(F.when(F.col("x"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("x"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
-        more = more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", F.lit(None).cast(_SEEDS).alias("seeds"))
+        more = more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
         pairs = materialize(pairs.union(more), "allseeded")
     need = materialize(one.join(checked_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct(), nd.MAX_IDS), "did", "left_semi"), "need")
     content = materialize(_content(known, need), "content")
     side = lambda x: content.select(F.col("did").alias(x), F.col("query").alias(f"q{x}"), F.coalesce("candidates", F.array().cast("array<string>")).alias(f"c{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "seeds", "qa", "qb", "ca", "cb")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "qa", "qb", "ca", "cb")
     found = joined.mapInPandas(_judge(threshold), "a long, b long, similarity double, coverage double")
     for x in "ab":
         found = found.join(need.select(F.col("did").alias(x), F.col("id").alias(f"i{x}")), x)

@@ -198,6 +198,16 @@ def test_chain_and_extension():
     assert so.extend(a, b, []) == (0, 0)
 
 
+def test_coverage_of_stock_phrases(spark):
+    stock = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(20):
+        query = stock[:1] + [f"x{i}"] * (i > 0) + stock[1:]
+        rows.append((i, "adv" if i % 2 else "train", "s", "go", " ".join(query), ["a b c d e"], "c", "v"))
+    got = so.split_overlaps(spark.createDataFrame(rows, LISTS), spark.createDataFrame(NAMES, "spelling string, canonical string")).collect()
+    assert len(got) == 100 and all(r.coverage >= 59 / 61 for r in got)
+
+
 def test_report(spark):
     lists = spark.createDataFrame([(1, "hard", "s1"), (1, "hard", "s1"), (2, None, None)], "list_id long, split string, source string")
     pairs = spark.createDataFrame([(7, 1, 0.9, 0.5), (8, 1, 0.9, 1.0), (7, 2, 0.7, 0.25)], "train_id long, other_id long, similarity double, coverage double")
