@@ -12,8 +12,9 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A join side is broadcast only when its counted rows stay under this bound.
-MAX_BROADCAST_ROWS = 20_000
+#: A join side is broadcast only when its counted rows, with what a hash table adds to each, stay under so many bytes.
+MAX_BROADCAST_BYTES = 16 << 20
+ROW_OVERHEAD = 24
 
 
 def get_session(app: str = "gavelspark", cpus: int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -99,7 +100,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass  # the session has ended; its owner clears the folder
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unchanged (shuffle join)."""
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+def checked_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows take at most ``max_bytes``, else unchanged (shuffle join).
+
+    The width of a row is the usual one of its types; rows are counted no further than the bound.
+    """
+    most = max_bytes // (ROW_OVERHEAD + df._jdf.schema().defaultSize())
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
