@@ -15,7 +15,7 @@ from gavelspark.llm.leaks import leak_report, leaked_items
 from gavelspark.llm.pair_defects import pair_defects
 from gavelspark.llm.pair_ranking import policy_games, ranking, strengths
 from gavelspark.llm.personal import found_pieces, redacted
-from gavelspark.llm.split_overlap import overlap_report, split_overlaps
+from gavelspark.llm.split_overlap import coverage_report, overlap_report, split_overlaps
 from gavelspark.llm.token_budget import token_budget
 from gavelspark.session import ship_package, spread
 
@@ -55,6 +55,12 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(split_overlaps(lists, _read(spark, sf_dir, "language_names")), lists)
 
 
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists outside train that overlap with train, with what is covered of each."""
+    lists = _spread(spark, sf_dir, "evaluate")
+    return coverage_report(split_overlaps(lists, _read(spark, sf_dir, "language_names")), lists)
+
+
 def _ranking(spark: SparkSession, sf_dir: str, link: str) -> DataFrame:
     games = policy_games(_read(spark, sf_dir, "ranking_consistency"), _read(spark, sf_dir, "candidate_policies"))
     return ranking(strengths(games, link), _read(spark, sf_dir, "policies"))
@@ -118,7 +124,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted(_read(spark, sf_dir, "documents"), p8_found(spark, sf_dir), _read(spark, sf_dir, "given_names"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_probit": p2_probit, "p2_games": p2_games, "p3_found": p3_found, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_probit": p2_probit, "p2_games": p2_games, "p3_found": p3_found, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

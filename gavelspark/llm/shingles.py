@@ -8,13 +8,18 @@ tokens and 0 if either set is empty. A null text has no tokens.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 SHINGLE = 3
 GROUP_CHARS = 1_000_000
+#: A slice of a batch holds about so many bytes of text, and at most so many texts.
+SLICE_BYTES, SLICE_ROWS = 4_000_000, 1 << 13
 _SPACE, _WORD, _OTHER = 0, 1, 2
 _KINDS: list[np.ndarray] = []
 
@@ -30,6 +35,31 @@ def _kinds() -> np.ndarray:
     return _KINDS[0]
 
 
+def _bytes(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text, or of the texts of each list."""
+    if pa.types.is_list(texts.type):
+        inner = np.concatenate(([0], np.cumsum(_bytes(texts.values))))
+        ends = texts.offsets.to_numpy()
+        return inner[ends[1:]] - inner[ends[:-1]]
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, *more: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of the batches with the texts of ``column``; a slice is bounded in bytes, also of the columns
+    ``more``, so that memory does not follow the batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = np.cumsum(sum(_bytes(batch.column(c)) for c in (column, *more)))
+        start = 0
+        while start < batch.num_rows:
+            room = SLICE_BYTES + (held[start - 1] if start else 0)
+            stop = min(max(start + 1, int(np.searchsorted(held, room, "right"))), start + SLICE_ROWS)
+            part = batch.slice(start, stop - start)
+            yield part, part.column(column).to_pylist()
+            start = stop
+
+
 def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
@@ -131,12 +161,3 @@ def jaccard(a: set, b: set) -> float:
         return 0.0
     both = len(a & b)
     return both / (len(a) + len(b) - both)
-
-
-def sequence_key(texts: list[str | None]) -> bytes:
-    """128-bit key of the token sequences of the texts: equal keys, equal tokens."""
-    h = xxhash.xxh3_128()
-    for text in texts:
-        h.update("\x1f".join(tokens(text)).encode("utf-8", "surrogatepass") if text is not None else b"\x00")
-        h.update(b"\x1e")
-    return h.digest()

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gavelspark.llm import near_duplicates as nd
 from gavelspark.llm import shingles as S
+from gavelspark.llm.prefix_filter import few_to_all
 from gavelspark.llm.token_budget import canonical
 from gavelspark.session import checked_broadcast, materialize
 
@@ -73,20 +73,18 @@ def _once(h: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarr
 
 def _fingerprinter(id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in S.sliced(batches, 3, 4):
             ids, train, language, queries, candidates = batch.columns
-            texts, groups = queries.to_pylist(), candidates.to_pylist()
             flat, counts = S.flat_hashes(texts)
             h, owner, place, sizes = winnow(flat, counts)
             salts = np.array([xxhash.xxh3_64_intdigest(x) for x in language.to_pylist()], np.uint64)
             h = S.scramble(h ^ salts[owner]).view(np.int64) if len(h) else h.view(np.int64)
             per = np.bincount(owner, minlength=len(texts))
             offsets = pa.array(np.concatenate(([0], np.cumsum(per))), pa.int32())
-            ends = np.cumsum(counts)
-            texts_keys = [xxhash.xxh3_128_digest(flat[e - c : e].tobytes()) for c, e in zip(counts, ends)]
-            keys = _keys(flat, counts, groups, train.to_pylist(), language.to_pylist())
-            out = [ids.cast(id_type), train, pa.array(keys, pa.binary()), language, pa.array(texts_keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(out, names=["id", "train", "cls", "language", "query_key", "n", "marks", "places"])
+            keys = _keys(flat, counts, candidates.to_pylist(), train.to_pylist(), language.to_pylist())
+            marks = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(h), pa.array(place, pa.int32()))]
+            out = [ids.cast(id_type), train, pa.array(keys, pa.binary()), language, pa.array(sizes, pa.int32()), *marks, queries, candidates]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "train", "cls", "language", "n", "marks", "places", "query", "candidates"])
 
     return run
 
@@ -158,17 +156,17 @@ def _chained(seeds: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _seeded_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _seeded_pairs(reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(a in train, b outside) and the dids of the second way, from reps (did, train, n, marks, places)."""
     posts = reps.select("did", "train", "n", F.arrays_zip("marks", "places").alias("z")).select("did", "train", "n", F.explode("z").alias("z")).select("did", "train", "n", F.col("z.marks").alias("v"), F.col("z.places").alias("at"))
     sides = posts.groupBy("v").agg(F.sum(F.col("train").cast("long")).alias("t"), F.count("*").alias("all"))
     stock = sides.where(F.col("t") * (F.col("all") - F.col("t")) > MAX_PRODUCT).select("v")
-    stock = checked_broadcast(materialize(stock, "stock"), nd.MAX_IDS)
+    stock = checked_broadcast(materialize(stock, "stock"))
     rest = posts.join(stock, "v", "left_anti")
     a = rest.where("train").select("v", F.col("did").alias("a"), F.col("at").alias("i"), F.col("n").alias("na"))
     b = rest.where("not train").select("v", F.col("did").alias("b"), F.col("at").alias("j"), F.col("n").alias("nb"))
     seeds = F.collect_list(F.struct("i", "j"))
-    by_size = (F.col("na") * 5 >= F.col("nb") * 3) & (F.col("nb") * 5 >= F.col("na") * 3)
+    by_size = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
     pairs = a.join(b, "v").where(by_size).groupBy("a", "b").agg(seeds.alias("seeds"), F.min(F.least("na", "nb")).alias("n"))
     pairs = pairs.where((F.size("seeds") >= LEAST_CHAIN) | (F.col("n") <= SHORT)).withColumn("seeds", _chained("seeds"))
     pairs = pairs.where((F.size("seeds") >= LEAST_CHAIN) | (F.col("n") <= SHORT)).select("a", "b")
@@ -220,56 +218,53 @@ def split_overlaps(lists: DataFrame, names: DataFrame, threshold: float = 0.6) -
     """
     known = canonical(F.col("language"), names, lists.select("list_id", "split", "language", "query", "candidates"), "language").where("language is not null and query is not null and list_id is not null")
     known = known.select("list_id", F.coalesce(F.col("split") == "train", F.lit(False)).alias("train"), "language", "query", "candidates")
-    id_field = known.schema["list_id"]
-    schema = T.StructType([T.StructField("id", id_field.dataType), T.StructField("train", T.BooleanType()), T.StructField("cls", T.BinaryType()), T.StructField("language", T.StringType()), T.StructField("query_key", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("marks", T.ArrayType(T.LongType(), False)), T.StructField("places", T.ArrayType(T.IntegerType(), False))])
-    table = known.mapInArrow(_fingerprinter(to_arrow_type(id_field.dataType)), schema).where("n > 0")
+    id_field, texts = known.schema["list_id"], T.ArrayType(T.StringType())
+    made = [("id", id_field.dataType), ("train", T.BooleanType()), ("cls", T.BinaryType()), ("language", T.StringType()), ("n", T.IntegerType()), ("marks", T.ArrayType(T.LongType(), False)), ("places", T.ArrayType(T.IntegerType(), False)), ("query", T.StringType()), ("candidates", texts)]
+    table = known.mapInArrow(_fingerprinter(to_arrow_type(id_field.dataType)), T.StructType([T.StructField(c, t) for c, t in made])).where("n > 0")
     table = materialize(table.withColumn("did", F.monotonically_increasing_id()), "marks")
     slim = table.select("did", "id", "cls")
     best = slim.groupBy("id").agg(F.min(F.struct("cls", "did")).alias("best"), F.count("*").alias("rows"))
     extra = materialize(slim.join(best.where("rows > 1"), "id").where("did <> best.did").select("did"), "extra")
-    extra = checked_broadcast(extra, nd.MAX_IDS)
+    extra = checked_broadcast(extra)
     slim, table = slim.join(extra, "did", "left_anti"), table.join(extra, "did", "left_anti")
     classes = slim.groupBy("cls").agg(F.min(F.struct("did", "id")).alias("rep"), F.max("did").alias("last"))
     copies = materialize(classes.where("rep.did <> last").select("cls", "rep"), "copies")
-    copied = materialize(slim.join(checked_broadcast(copies, nd.MAX_IDS), "cls").select("did", "id", F.col("rep.id").alias("rep"), F.col("rep.did").alias("rep_did")), "copied")
-    others = checked_broadcast(copied.where("did <> rep_did").select("did"), nd.MAX_IDS)
+    copied = materialize(slim.join(checked_broadcast(copies), "cls").select("did", "id", F.col("rep.id").alias("rep"), F.col("rep.did").alias("rep_did")), "copied")
+    others = checked_broadcast(copied.where("did <> rep_did").select("did"))
     reps = table.join(others, "did", "left_anti")
-    pairs, few = _seeded_pairs(reps)
+    pairs, few = _seeded_pairs(reps, threshold)
     pairs, few = materialize(pairs, "seeded"), materialize(few, "few")
-    one = slim.join(others, "did", "left_anti").select("did", "id")
     if not few.isEmpty():
-        chosen = reps.join(checked_broadcast(few, nd.MAX_IDS), "did", "left_semi").select("did", "id", "language")
-        texts = chosen.join(_content(known, chosen), "did").select(F.col("language").alias("salt"), F.col("query").alias("text"))
-        keyed = reps.select("did", F.struct(F.col("id").alias("list_id")).alias("id"), F.col("language").alias("salt"), F.col("query_key").alias("cls"))
-        more = nd.few_to_all(texts, known.select("list_id", F.col("language").alias("salt"), F.col("query").alias("text")), ["list_id"], keyed, few, threshold)
+        more = few_to_all(reps.select("did", F.col("language").alias("salt"), F.col("query").alias("text")), few, threshold)
         sides = reps.select("did", "train")
         more = more.join(sides.select(F.col("did").alias("a"), F.col("train").alias("x")), "a").join(sides.select(F.col("did").alias("b"), F.col("train").alias("y")), "b").where("x <> y")
-        more = more.select(F.when(F.col("x"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("x"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
-        more = more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
-        pairs = materialize(pairs.union(more), "allseeded")
-    need = materialize(one.join(checked_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct(), nd.MAX_IDS), "did", "left_semi"), "need")
-    content = materialize(_content(known, need), "content")
+        more = more.select(F.when(F.col("x"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("x"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        pairs = materialize(pairs.union(more).distinct(), "allseeded")
+    wanted = checked_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct())
+    content = materialize(reps.join(wanted, "did", "left_semi").select("did", "id", "query", "candidates"), "content")
     side = lambda x: content.select(F.col("did").alias(x), F.col("query").alias(f"q{x}"), F.coalesce("candidates", F.array().cast("array<string>")).alias(f"c{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "qa", "qb", "ca", "cb")
     found = joined.mapInPandas(_judge(threshold), "a long, b long, similarity double, coverage double")
     for x in "ab":
-        found = found.join(need.select(F.col("did").alias(x), F.col("id").alias(f"i{x}")), x)
+        found = found.join(content.select(F.col("did").alias(x), F.col("id").alias(f"i{x}")), x)
     found = found.select(F.col("ia").alias("train_id"), F.col("ib").alias("other_id"), "similarity", "coverage")
     for x in ("train_id", "other_id"):
         found = found.join(copied.select(F.col("rep").alias(x), F.col("id").alias("copy")), x, "left").withColumn(x, F.coalesce("copy", x)).drop("copy")
     return found
 
 
-def _content(known: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(did, query, candidates) of the wanted (did, id)."""
-    few = checked_broadcast(wanted.select("did", "id"), nd.MAX_IDS)
-    found = known.join(few, known["list_id"] == few["id"]).select("did", "query", "candidates")
-    return found.groupBy("did").agg(F.min(F.struct("query", "candidates")).alias("r")).select("did", "r.query", "r.candidates")
+def _abouts(lists: DataFrame) -> DataFrame:
+    """(other_id, split, source) of each list; of differing deliveries the smallest (split, source) counts."""
+    return lists.where("list_id is not null").groupBy("list_id").agg(F.min(F.struct("split", "source")).alias("r")).select(F.col("list_id").alias("other_id"), "r.split", "r.source")
 
 
 def overlap_report(overlaps: DataFrame, lists: DataFrame) -> DataFrame:
-    """Overlapping records per split and source of the list outside train: lists, pairs, mean and least coverage."""
-    about = lists.groupBy("list_id").agg(F.min(F.struct("split", "source")).alias("r")).select(F.col("list_id").alias("other_id"), "r.split", "r.source")
-    joined = overlaps.join(about, "other_id")
-    measures = [F.countDistinct("other_id").alias("lists"), F.count("*").alias("pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.round(F.min("coverage"), 6).alias("least_coverage")]
-    return joined.groupBy("split", "source").agg(*measures)
+    """Overlaps per split and source of the list outside train: lists and pairs. Null split and source are slices of their own."""
+    return overlaps.join(_abouts(lists), "other_id").groupBy("split", "source").agg(F.countDistinct("other_id").alias("lists"), F.count("*").alias("pairs"))
+
+
+def coverage_report(overlaps: DataFrame, lists: DataFrame) -> DataFrame:
+    """(list_id, split, source, partners, similarity, coverage) of each list outside train that overlaps: lists of
+    train that it overlaps, the highest similarity of the queries, and the largest share of its query that one of them covers."""
+    once = overlaps.groupBy("other_id").agg(F.count("*").alias("partners"), F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage"))
+    return once.join(_abouts(lists), "other_id").select(F.col("other_id").alias("list_id"), "split", "source", "partners", "similarity", "coverage")

@@ -50,8 +50,13 @@ def _runs(relation: str, key: str) -> str:
 
 _P7 = f"SELECT DISTINCT d.id AS doc_id, h.id AS item_id FROM ({_runs('documents', 'doc_id')}) d JOIN ({_runs('heldout_items', 'item_id')}) h ON d.run = h.run"
 
+_P1_REPORT = f"""SELECT split, source, count(DISTINCT other_id) AS lists, count(*) AS pairs
+FROM (SELECT CASE WHEN t.list_id IS NULL THEN list_a ELSE list_b END AS other_id FROM ({_P1}) f LEFT JOIN (SELECT DISTINCT list_id FROM evaluate WHERE split = 'train') t ON t.list_id = f.list_a) o
+JOIN (SELECT list_id AS other_id, split, source FROM (SELECT list_id, split, source, row_number() OVER (PARTITION BY list_id ORDER BY split NULLS FIRST, source NULLS FIRST) AS rn FROM evaluate) z WHERE rn = 1) e USING (other_id) GROUP BY split, source"""
+
 SQL: dict[str, str] = {
     "p1_found": _P1,
+    "p1_report": _P1_REPORT,
     "p2_games": _P2_GAMES,
     "p5_found": _P5,
     "p7_found": _P7,
