@@ -2,26 +2,29 @@
 
 One hash function orders the shingles of every text; a text keeps its ``K`` smallest (its sketch). Texts with
 equal token sequences form a class with one representative. An inverted list per retained value generates
-overlaps between representatives, the ranks of the shared values estimate the similarity from the union of
-both sketches, and the exact Jaccard index decides.
+overlaps between representatives, the ``K`` smallest values of the union of both sketches estimate the
+similarity, and the exact Jaccard index decides. An estimate may lie ``DEVIATIONS`` standard deviations under the threshold.
 
-A value on more than ``MAX_LIST`` sketches (boilerplate, or a large family of variants) would make a list whose
-pairs are quadratic, so such lists are not joined. Texts whose sketch holds few other values would lose their
-way into the lists; they go through an exact second way together with all texts: shingles are ordered from rare to
-common among the few, and two texts of similarity t must share one among the first (1 - t) of each (prefix filter).
+A value on more than ``MAX_LIST`` sketches is common (boilerplate, or a large family of variants): its list would
+pair quadratically many texts and is not joined. A pair that the estimate lets pass shares a least number of
+values; if at most one of them is not common, the common ones make up the rest. So the common values of a
+sketch are ordered from rare to frequent, and the pair must share two of the first few of each (prefix filter):
+these twos are lists of their own, much shorter than those of single values. Nothing that the estimate would
+pass is lost.
 
-Skew: lists are counted with map-side combining, and long ones leave before the join; no group is collected. Lineage is cut by tables in the shared checkpoint folder.
+Skew: values are counted with map-side combining, and long lists leave before the join; no group is collected. Lineage is cut by tables in the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,19 +34,12 @@ from gavelspark.session import checked_broadcast, materialize
 
 #: Size of a sketch.
 K = 24
-#: Longest inverted list that is joined with itself.
+#: Longest inverted list of a single value that is joined with itself.
 MAX_LIST = 16
-#: A pair needs so many shared values, each at nearly the same rank in both sketches, and one for every eight values that the shorter sketch has in the lists.
-LEAST_SHARED, RANK_GAP = 2, 8
-#: Least estimate of the similarity; it counts all values on long lists as shared. At a true similarity of 0.65 the estimate from 24 values has a standard deviation of 0.1.
-LEAST_ESTIMATE = 0.4
-#: Texts with at most this share of their sketch outside the long lists take the second way. A pair is left to the lists only if both texts have more.
-FEW_SHARE = 0.5
-#: Counters of the order of the second way (a power of two); shingles on one counter share a place in the order, which stays exact.
-COUNTERS = 1 << 24
-#: Tables of ids up to this many rows (about 50 MB) are broadcast; larger ones are joined by shuffle.
-MAX_IDS = 500_000
-_VALUE_BITS, _BATCH = np.uint64(48), 1 << 13
+#: An estimate from K values may lie so many standard deviations under the threshold.
+DEVIATIONS = 2.5
+_VALUE_BITS = np.uint64(48)
+_NONE = np.int64(1) << np.int64(62)
 
 
 def sketch_batch(texts: list[str | None], k: int) -> tuple[np.ndarray, list[bytes | None], list[np.ndarray]]:
@@ -67,151 +63,93 @@ def sketch_batch(texts: list[str | None], k: int) -> tuple[np.ndarray, list[byte
 
 def _sketcher(ids: list[str], k: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, _BATCH):
-                batch = whole.slice(at, _BATCH)
-                sizes, keys, sketches = sketch_batch(batch.column(len(ids)).to_pylist(), k)
-                keep = np.flatnonzero(sizes > 0)
-                if not len(keep):
-                    continue
-                kept = [sketches[i] for i in keep]
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in kept]))), pa.int32())
-                columns = [batch.column(i).take(pa.array(keep)) for i in range(len(ids))]
-                columns += [pa.array([keys[i] for i in keep], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(kept), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+        for batch, texts in S.sliced(batches, len(ids)):
+            sizes, keys, sketches = sketch_batch(texts, k)
+            keep = np.flatnonzero(sizes > 0)
+            if not len(keep):
+                continue
+            kept = [sketches[i] for i in keep]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in kept]))), pa.int32())
+            rows = batch.take(pa.array(keep))
+            columns = [rows.column(i) for i in range(len(ids))]
+            columns += [pa.array([keys[i] for i in keep], pa.binary()), pa.array(sizes[keep]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(kept), pa.int64())), rows.column(len(ids))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
 def sketches(df: DataFrame, ids: list[str], text: str, k: int = K) -> DataFrame:
-    """(ids, cls, sketch) of every text that has a shingle."""
-    out = T.StructType([*(df.schema[c] for c in ids), T.StructField("cls", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType(), False))])
+    """(ids, cls, n, sketch, text) of every text that has a shingle; n is the number of its shingles."""
+    made = [("cls", T.BinaryType()), ("n", T.IntegerType()), ("sketch", T.ArrayType(T.LongType(), False)), ("text", T.StringType())]
+    out = T.StructType([*(df.schema[c] for c in ids), *(T.StructField(c, t) for c, t in made)])
     return df.select(*ids, text).mapInArrow(_sketcher(ids, k, to_arrow_schema(out)), out)
 
 
-def _listed_pairs(reps: DataFrame, max_list: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) from the inverted lists of reps (did, sketch), and the dids of the second way.
+def least_estimate(threshold: float, k: int = K) -> float:
+    """The least estimate of the similarity, from k values, that a pair of similarity ``threshold`` may have."""
+    return max(threshold / 4, threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / k))
 
-    The values that two sketches share and their values on long lists, which they may share too, bound the
-    estimate of the union sketch from above; a pair stays if the bound reaches LEAST_ESTIMATE.
-    """
-    posts = reps.select("did", F.posexplode("sketch").alias("rank", "v"))
-    long = posts.groupBy("v").agg(F.count("*").alias("df")).where(F.col("df") > max_list).select("v")
-    long = checked_broadcast(materialize(long, "long"), MAX_IDS)
-    on_long = posts.join(long, "v").groupBy("did").agg(F.count("*").cast("int").alias("hot"))
-    held = materialize(reps.select("did", F.size("sketch").alias("size")).join(on_long, "did", "left").select("did", "size", F.coalesce("hot", F.lit(0)).alias("hot")), "held")
-    rest = posts.join(long, "v", "left_anti").withColumn("rank", F.col("rank").cast("byte"))
-    a = rest.select("v", F.col("did").alias("a"), F.col("rank").alias("ra"))
-    b = rest.select("v", F.col("did").alias("b"), F.col("rank").alias("rb"))
-    near = F.abs(F.col("ra").cast("int") - F.col("rb").cast("int")) <= RANK_GAP
-    pairs = a.join(b, "v").where((F.col("a") < F.col("b")) & near).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED)
-    few_held = checked_broadcast(held, MAX_IDS)
-    for x in "ab":
-        pairs = pairs.join(few_held.select(F.col("did").alias(x), F.col("size").alias(f"s{x}"), F.col("hot").alias(f"h{x}")), x)
-    cold = F.least(F.col("sa") - F.col("ha"), F.col("sb") - F.col("hb"))
-    bound = F.col("shared") + F.least("ha", "hb") >= F.least("sa", "sb") * LEAST_ESTIMATE
-    pairs = pairs.where(bound & (F.col("shared") >= F.ceil(cold / 8))).select("a", "b")
-    return pairs, held.where(F.col("size") - F.col("hot") <= F.col("size") * FEW_SHARE).where("hot > 0").select("did")
-
-
-def _shingler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, _BATCH):
-            batch = whole.slice(at, _BATCH)
-            _, _, found = sketch_batch(batch.column(1).to_pylist(), 1 << 62)
-            sizes = [len(x) for x in found]
-            if sum(sizes):
-                dids = np.repeat(batch.column(0).to_numpy(), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(dids), pa.array(np.repeat(np.array(sizes, np.int32), sizes)), pa.array(np.concatenate(found))], ["did", "n", "v"])
-
-
-def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of texts (did, text) that can reach ``threshold``: exact, by the prefix filter."""
-    all_values = texts.mapInArrow(_shingler, "did long, n int, v long")
-    ranked = all_values.join(all_values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "v")
-    place = F.row_number().over(Window.partitionBy("did").orderBy("df", "v"))
-    # values on one text only come first in the order and count as passed places
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("did"))
-    prefix = ranked.withColumn("place", place + alone).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    a, b = (prefix.select("v", F.col("did").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    by_size = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    return a.join(b, "v").where((F.col("a") < F.col("b")) & by_size).select("a", "b").distinct()
 
+def estimates(a: list[np.ndarray], b: list[np.ndarray], k: int) -> np.ndarray:
+    """Share of the k smallest values of the union of sketches a[i] and b[i] (ascending) that are in both."""
+    rows = []
+    for side in (a, b):
+        sizes = np.fromiter(map(len, side), np.int64, len(side))
+        table = np.full((len(side), k), _NONE)
+        table[np.arange(k) < sizes[:, None]] = np.concatenate([np.zeros(0, np.int64), *side])
+        rows.append(table)
+    both = np.sort(np.concatenate(rows, axis=1), axis=1)
+    held = both < _NONE
+    new = np.ones_like(held)
+    new[:, 1:] = both[:, 1:] != both[:, :-1]
+    place = np.cumsum(new, axis=1)
+    shared = (~new & held & (place <= k)).sum(axis=1)
+    return shared / np.maximum(1, np.minimum(k, (new & held).sum(axis=1)))
 
-def _prefixer(ids: list[str], counts, threshold: float, schema: pa.Schema):
-    """Rows (ids, salt, text) to (ids, salt, cls, n, v, at): the prefix of each text, without shingles that no counted text has."""
 
+def _estimated(least: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
         for whole in batches:
-            for at in range(0, whole.num_rows, _BATCH):
-                batch = whole.slice(at, _BATCH)
-                sizes, keys, found = sketch_batch(batch.column(len(ids) + 1).to_pylist(), 1 << 62)
-                if not sizes.sum():
-                    continue
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                v = salted(np.concatenate(found), owner, batch.column(len(ids)).to_pylist())
-                seen = table[v & (len(table) - 1)]
-                order = np.lexsort((v, seen, owner))
-                v, seen = v[order], seen[order]
-                place = np.arange(len(v)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-                n = sizes[owner]
-                keep = (seen > 0) & (place <= n - np.ceil(n * threshold - 1e-9) + 1)
-                per = np.bincount(owner[keep], minlength=len(sizes))
-                rows = np.flatnonzero(per)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(per[rows]))), pa.int32())
-                columns = [batch.column(i).take(pa.array(rows)) for i in range(len(ids) + 1)]
-                columns += [pa.array([keys[i] for i in rows], pa.binary()), pa.array(sizes[rows])]
-                columns += [pa.ListArray.from_arrays(offsets, pa.array(x[keep], pa.int64())) for x in (v, place)]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+            for at in range(0, whole.num_rows, 1 << 12):
+                batch = whole.slice(at, 1 << 12)
+                sides = [[np.asarray(x.values) for x in batch.column(c)] for c in ("x", "y")]
+                yield batch.select(["a", "b"]).filter(pa.array(estimates(*sides, k) >= least - 1e-9))
 
     return run
 
 
-def salted(values: np.ndarray, owner: np.ndarray, salts: list[str | None]) -> np.ndarray:
-    """Values of the texts ``owner``; texts with different salts share none."""
-    salt = np.array([xxhash.xxh3_64_intdigest(x) if x is not None else 0 for x in salts], np.uint64)
-    return (S.scramble(values.view(np.uint64) ^ salt[owner]) >> np.uint64(16)).view(np.int64)
-
-
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, _BATCH):
-            batch = whole.slice(at, _BATCH)
-            sizes, _, found = sketch_batch(batch.column(1).to_pylist(), 1 << 62)
-            if sizes.sum():
-                v = salted(np.concatenate(found), np.repeat(np.arange(len(sizes)), sizes), batch.column(0).to_pylist())
-                slots, seen = np.unique(v & (COUNTERS - 1), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(seen, pa.int64())], ["slot", "seen"])
-
-
-def few_to_all(few_texts: DataFrame, texts: DataFrame, ids: list[str], reps: DataFrame, few: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) that can reach ``threshold`` of one of the ``few`` dids and any did of ``reps``, both ways round.
-
-    ``few_texts`` has (salt, text) of the few, ``texts`` (ids, salt, text) of all, ``reps`` (did, id, salt, cls) with the
-    key of the token sequence; texts of different salt do not pair. Exact: the prefix filter holds for every fixed
-    order of the shingles. Only the prefixes leave the scan, and of them only shingles that one of the few may have:
-    a text whose first places are all taken by others resembles none of them. The counters have a fixed size.
-    """
-    spark = texts.sparkSession
-    seen = few_texts.mapInArrow(_counter, "slot int, seen long").groupBy("slot").agg(F.least(F.sum("seen"), F.lit((1 << 31) - 1)).cast("int").alias("seen")).toArrow()
-    table, much = np.zeros(COUNTERS, np.uint8), seen["seen"].to_numpy()
-    # one byte a counter: exact up to 128, then eight steps for each doubling
-    table[seen["slot"].to_numpy()] = np.minimum(255, np.where(much <= 128, much, 128 + np.floor(8 * np.log2(np.maximum(much, 128) / 128))))
-    counts = spark.sparkContext.broadcast(table)
-    out = T.StructType([*(texts.schema[c] for c in ids), T.StructField("salt", T.StringType()), T.StructField("cls", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("v", T.ArrayType(T.LongType(), False)), T.StructField("at", T.ArrayType(T.IntegerType(), False))])
-    found = texts.select(*ids, "salt", "text").mapInArrow(_prefixer(ids, counts, threshold, to_arrow_schema(out)), out)
-    found = found.select(F.struct(*ids).alias("id"), "salt", "cls", "n", "v", "at").alias("f")
-    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("id", "salt", "cls")]
-    posts = found.join(reps.alias("r"), same).select("did", "n", F.arrays_zip("v", "at").alias("z")).dropDuplicates(["did"])
-    posts = materialize(posts.join(checked_broadcast(few.withColumn("few", F.lit(True)), MAX_IDS), "did", "left"), "prefixes")
-    posts = posts.select("did", "n", "few", F.explode("z").alias("z")).select("did", "n", "few", F.col("z.v").alias("v"), F.col("z.at").alias("at"))
-    a = posts.where("few").select("v", F.col("did").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    b = posts.select("v", F.col("did").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-    # the first common shingle and all after it must make up the overlap that the threshold asks for
-    enough = (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) * (1 + threshold) >= (F.col("na") + F.col("nb")) * threshold - 1e-6
+def _candidates(reps: DataFrame, threshold: float, max_list: int, k: int) -> DataFrame:
+    """Pairs (a, b), a < b, of reps (did, n, sketch) that share as many values as the least estimate asks for, or may do so."""
+    least = least_estimate(threshold, k)
+    # values that a text shares with each text that resembles it; the larger text of a pair asks for more
+    need = lambda n: F.ceil(F.least(n, F.lit(k)) * least - 1e-9)
     by_size = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    return a.join(b, "v").where((F.col("a") != F.col("b")) & by_size & enough).select("a", "b").distinct()
+    posts = reps.select("did", "n", F.explode("sketch").alias("v"))
+    common = checked_broadcast(materialize(posts.groupBy("v").agg(F.count("*").cast("int").alias("df")).where(F.col("df") > max_list), "common"))
+
+    rest = posts.join(common, "v", "left_anti")
+    a, b = (rest.select("v", F.col("did").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    # where one value is enough it counts twice
+    weight = F.when(need(F.greatest("na", "nb")) <= 1, 2).otherwise(1)
+    listed = a.join(b, "v").where((F.col("a") < F.col("b")) & by_size).groupBy("a", "b").agg(F.sum(weight).alias("shared")).where("shared >= 2")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("df", "v"))), lambda x: x["v"])
+    hot = materialize(posts.join(common, "v").groupBy("did", "n").agg(ordered.alias("hot")), "hot")
+    held = reps.select("did", "n").join(hot.select("did", F.size("hot").alias("h")), "did", "left").select("did", "n", F.coalesce("h", F.lit(0)).alias("h"))
+    for x in "ab":
+        listed = listed.join(held.select(F.col("did").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")), x)
+    listed = listed.where(F.col("shared") + F.least("ha", "hb") >= need(F.greatest("na", "nb"))).select("a", "b")
+
+    # all but one of the needed values are common ones
+    left = F.greatest(need(F.col("n")) - 1, F.lit(1))
+    first = lambda more: F.slice("hot", 1, (F.size("hot") - F.col("left") + more).cast("int"))
+    twos = F.flatten(F.transform(first(2), lambda x, i: F.transform(F.slice(first(2), i + 2, F.size("hot")), lambda y: F.xxhash64(x, y))))
+    small = math.floor(math.floor(2 / least + 1e-9) / threshold + 1e-9)
+    ones = F.when(F.col("n") <= small, first(1)).otherwise(F.array().cast("array<bigint>"))
+    keyed = hot.withColumn("left", left).where("size(hot) >= left").select("did", "n", "left", F.transform("hot", lambda x: F.pmod(x, F.lit((1 << 31) - 1)).cast("int")).alias("hot"), F.concat(ones, F.when(F.col("left") >= 2, twos).otherwise(F.array().cast("array<bigint>"))).alias("keys"))
+    keyed = keyed.select("did", "n", "left", "hot", F.explode("keys").alias("v"))
+    a, b = (keyed.select("v", *[F.col(c).alias(f"{c}{x}") for c in ("did", "n", "left", "hot")]).withColumnRenamed(f"did{x}", x) for x in "ab")
+    enough = F.size(F.array_intersect("hota", "hotb")) >= F.greatest("lefta", "leftb")
+    return listed.union(a.join(b, "v").where((F.col("a") < F.col("b")) & by_size & enough).select("a", "b")).distinct()
 
 
 def _similarity(threshold: float):
@@ -222,56 +160,45 @@ def _similarity(threshold: float):
     return similarity
 
 
-def near_duplicates(df: DataFrame, ids: list[str], text: str, threshold: float = 0.6, max_list: int = MAX_LIST) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, ids: list[str], text: str, threshold: float = 0.6, max_list: int = MAX_LIST, k: int = K) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate classes of the texts of ``df``.
 
     Returns ``links``: pairs (a, b, similarity) of class representatives, a < b, each a struct of the id
     columns, with exact similarity of at least ``threshold``; and ``members``: (id, rep) of every text that
     has a shingle. Texts that are null, empty or shorter than three tokens resemble nothing and are in
     neither; an empty table gives empty results. Repeated rows count once; an id that comes with several
-    texts is taken with the one whose class key is smallest. Null ids are ids like any other. Further columns
-    of ``df``, whatever their names, are not read.
+    texts is taken with the one whose class key is smallest, and that text is the one compared. Null ids are ids like
+    any other. Further columns of ``df``, whatever their names, are not read.
     """
     one = F.struct(*ids)
-    table = materialize(sketches(df, ids, text).withColumn("did", F.monotonically_increasing_id()), "sketches")
+    table = materialize(sketches(df, ids, text, k).withColumn("did", F.monotonically_increasing_id()), "sketches")
     slim = table.select("did", "cls", one.alias("id"))
-    clash = slim.groupBy("id").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("id", "least")
-    clash = materialize(clash, "clash")
+    clash = materialize(slim.groupBy("id").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("id", "least"), "clash")
     if not clash.isEmpty():
-        lost = slim.join(checked_broadcast(clash, MAX_IDS), slim["id"].eqNullSafe(clash["id"])).where("cls <> least").select("did")
-        lost = materialize(lost, "lost")
-        slim = slim.join(checked_broadcast(lost, MAX_IDS), "did", "left_anti")
-        table = table.join(checked_broadcast(lost, MAX_IDS), "did", "left_anti")
+        lost = slim.join(checked_broadcast(clash), slim["id"].eqNullSafe(clash["id"])).where("cls <> least").select("did")
+        lost = checked_broadcast(materialize(lost, "lost"))
+        slim, table = slim.join(lost, "did", "left_anti"), table.join(lost, "did", "left_anti")
     classes = slim.groupBy("cls").agg(F.min(F.struct("did", "id")).alias("rep"), F.max("did").alias("last"))
     copies = materialize(classes.where("rep.did <> last").select("cls", "rep"), "copies")
-    members = slim.join(checked_broadcast(copies, MAX_IDS), "cls", "left").select("did", "id", F.coalesce("rep.id", "id").alias("rep"), F.coalesce("rep.did", "did").alias("rep_did"))
-    others = materialize(members.where("did <> rep_did").select("did"), "others")
-    reps = table.join(checked_broadcast(others, MAX_IDS), "did", "left_anti").select("did", "sketch")
-    pairs, few = _listed_pairs(reps, max_list)
-    pairs, few = materialize(pairs, "pairs"), materialize(few, "few")
-    texts = df.select(one.alias("id"), F.col(text).alias("text"))
-    if not few.isEmpty():
-        keyed = table.join(checked_broadcast(others, MAX_IDS), "did", "left_anti").select("did", one.alias("id"), F.lit(None).cast("string").alias("salt"), "cls")
-        salt = F.lit(None).cast("string").alias("salt")
-        more = few_to_all(_texts_of(texts, slim, few).select(salt, "text"), df.select(*ids, salt, F.col(text).alias("text")), ids, keyed, few, threshold)
-        pairs = pairs.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-        pairs = materialize(pairs, "allpairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct()
-    held = materialize(_texts_of(texts, slim, need, with_id=True), "texts")
-    side = lambda x: held.select(F.col("did").alias(x), F.col("id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
-    checked = pairs.join(side("a"), "a").join(side("b"), "b").select("ia", "ib", _similarity(threshold)("ta", "tb").alias("similarity"))
+    members = slim.join(checked_broadcast(copies), "cls", "left").select("did", "id", F.coalesce("rep.id", "id").alias("rep"), F.coalesce("rep.did", "did").alias("rep_did"))
+    others = checked_broadcast(materialize(members.where("did <> rep_did").select("did"), "others"))
+    reps = table.join(others, "did", "left_anti")
+    pairs = materialize(_candidates(reps.select("did", "n", "sketch"), threshold, max_list, k), "candidates")
+
+    def joined(pairs: DataFrame, column: str) -> DataFrame:
+        wanted = checked_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct())
+        some = table.join(wanted, "did", "left_semi").select("did", *ids * (column == "text"), column)
+        for side, to in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(some.select(F.col("did").alias(side), *[one.alias(f"i{side}")] * (column == "text"), F.col(column).alias(to)), side)
+        return pairs
+
+    close = joined(pairs, "sketch").select("a", "b", "x", "y").mapInArrow(_estimated(least_estimate(threshold, k), k), "a long, b long")
+    close = materialize(close, "estimated")
+    checked = joined(close, "text").select("ia", "ib", _similarity(threshold)("x", "y").alias("similarity"))
     links = checked.where(F.col("similarity") >= threshold).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")
     return links, members.select("id", "rep").distinct()
 
 
-def _texts_of(texts: DataFrame, slim: DataFrame, dids: DataFrame, with_id: bool = False) -> DataFrame:
-    """(did, text) or (did, id, text) of the given dids; one row for each did, of repeated rows too."""
-    wanted = materialize(slim.join(checked_broadcast(dids, MAX_IDS), "did", "left_semi").select("did", "id"), "wanted")
-    few = checked_broadcast(wanted, MAX_IDS)
-    found = texts.where(F.col("text").isNotNull()).join(few, texts["id"].eqNullSafe(few["id"])).select("did", few["id"].alias("id"), "text")
-    return found.groupBy("did").agg(F.first("id").alias("id"), F.min("text").alias("text")).select("did", *["id"] * with_id, "text")
-
-
 def expand(links: DataFrame, members: DataFrame, limit: int | None = None) -> DataFrame:
     """Pairs (a, b) of texts, a < b: links between all members of classes and the copies within them.
 
@@ -300,7 +227,7 @@ def flat(pairs: DataFrame, ids: list[str], names: list[str]) -> DataFrame:
     return pairs.select(*parts("a"), *parts("b"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b), root being the smallest node that it is connected with.
 
     Alternating large and small stars: each round hangs the neighbours of a node on the smallest of them, until
@@ -309,7 +236,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = materialize(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct(), "star")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select("hi", "lo"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()

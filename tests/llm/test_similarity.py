@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gavelspark.llm import near_duplicates as nd
+from gavelspark.llm import prefix_filter
 from gavelspark.llm import shingles as S
 from gavelspark.llm import split_overlap as so
 
@@ -98,9 +100,58 @@ def test_large_classes_are_written_out(spark):
 def test_prefix_filter_is_exact(spark):
     rng = random.Random(3)
     texts = dict(enumerate(variants(rng, 30, 25)))
-    df = spark.createDataFrame(list(texts.items()), "did long, text string")
-    candidates = {(r.a, r.b) for r in nd.prefix_pairs(df, 0.6).collect()}
-    assert brute(texts, 0.6) <= candidates
+    df = spark.createDataFrame([(i, "s", t) for i, t in texts.items()], "did long, salt string, text string")
+    few = spark.createDataFrame([(i,) for i in texts if i % 2], "did long")
+    candidates = {(min(r), max(r)) for r in prefix_filter.few_to_all(df, few, 0.6).collect()}
+    assert {p for p in brute(texts, 0.6) if p[0] % 2 or p[1] % 2} <= candidates
+
+
+def test_estimates_take_the_smallest_of_the_union():
+    rng = np.random.default_rng(1)
+    for k in (4, 24):
+        a, b, expected = [], [], []
+        for _ in range(200):
+            x, y = (set(rng.integers(0, 60, rng.integers(1, 50)).tolist()) for _ in "ab")
+            a.append(np.array(sorted(x)[:k]))
+            b.append(np.array(sorted(y)[:k]))
+            union = sorted(x | y)[:k]
+            expected.append(len(set(union) & x & y) / len(union))
+        assert nd.estimates(a, b, k) == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("kind", ["insertion", "scattered", "reordering"])
+def test_recall_of_candidates_by_kind_of_edit(kind):
+    """Pairs at similarity 0.60 to 0.62: the estimate lets pass at least 98 of 100."""
+    rng = random.Random(11)
+    pairs = []
+    while len(pairs) < 400:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 160))]
+        n = len(a)
+        if kind == "insertion":
+            at, more = rng.randrange(n), int(n * 0.64)
+            b = a[:at] + [f"n{rng.randrange(10**6)}" for _ in range(more)] + a[at:]
+        elif kind == "scattered":
+            b = list(a)
+            for i in rng.sample(range(n), int(n * 0.1)):
+                b[i] = f"n{rng.randrange(10**6)}"
+        else:
+            cuts = [a[i : i + 8] for i in range(0, n, 8)]
+            rng.shuffle(cuts)
+            b = [w for c in cuts for w in c]
+        if 0.6 <= S.jaccard(S.shingle_set(" ".join(a)), S.shingle_set(" ".join(b))) <= 0.62:
+            pairs.append((" ".join(a), " ".join(b)))
+    sides = [nd.sketch_batch(list(x), nd.K)[2] for x in zip(*pairs)]
+    assert (nd.estimates(*sides, nd.K) >= nd.least_estimate(0.6)).mean() >= 0.98
+
+
+def test_deliveries_that_differ_are_compared_by_the_text_of_their_class(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"d{rng.randrange(999)}" for _ in range(50)) for _ in range(8)]
+    rows = [(1, 0, texts[0], "", ""), (1, 0, texts[1], "", ""), (2, 0, texts[2], "", ""), (2, 0, texts[3], "", "")]
+    rows += [(10 + i, 0, t + " end", "", "") for i, t in enumerate(texts[:4])]
+    keys = nd.sketch_batch([r[2] for r in rows[:4]], 1)[1]
+    chosen = [min((keys[2 * i], 2 * i), (keys[2 * i + 1], 2 * i + 1))[1] for i in (0, 1)]
+    assert found(spark, rows) == {((1, 0), (10 + chosen[0], 0)), ((2, 0), (10 + chosen[1], 0))}
 
 
 def test_hashed_similarity_is_jaccard():
@@ -211,8 +262,9 @@ def test_coverage_of_stock_phrases(spark):
 def test_report(spark):
     lists = spark.createDataFrame([(1, "hard", "s1"), (1, "hard", "s1"), (2, None, None)], "list_id long, split string, source string")
     pairs = spark.createDataFrame([(7, 1, 0.9, 0.5), (8, 1, 0.9, 1.0), (7, 2, 0.7, 0.25)], "train_id long, other_id long, similarity double, coverage double")
-    got = {(r.split, r.source): (r.lists, r.pairs, r.mean_coverage, r.least_coverage) for r in so.overlap_report(pairs, lists).collect()}
-    assert got == {("hard", "s1"): (1, 2, 0.75, 0.5), (None, None): (1, 1, 0.25, 0.25)}
+    got = {(r.split, r.source): (r.lists, r.pairs) for r in so.overlap_report(pairs, lists).collect()}
+    assert got == {("hard", "s1"): (1, 2), (None, None): (1, 1)}
+    assert {tuple(r) for r in so.coverage_report(pairs, lists).collect()} == {(1, "hard", "s1", 2, 0.9, 1.0), (2, None, None, 1, 0.7, 0.25)}
 
 
 def test_schema_of_empty_results(spark):
