@@ -141,7 +141,7 @@ def _candidates(reps: DataFrame, threshold: float, max_list: int, k: int) -> Dat
 
     # all but one of the needed values are common ones
     left = F.greatest(need(F.col("n")) - 1, F.lit(1))
-    first = lambda more: F.slice("hot", 1, (F.size("hot") - F.col("left") + more).cast("int"))
+    first = lambda more: F.slice("hot", 1, F.greatest(F.size("hot") - F.col("left") + more, F.lit(0)).cast("int"))
     twos = F.flatten(F.transform(first(2), lambda x, i: F.transform(F.slice(first(2), i + 2, F.size("hot")), lambda y: F.xxhash64(x, y))))
     small = math.floor(math.floor(2 / least + 1e-9) / threshold + 1e-9)
     ones = F.when(F.col("n") <= small, first(1)).otherwise(F.array().cast("array<bigint>"))
