@@ -125,15 +125,16 @@ def _candidates(reps: DataFrame, threshold: float, max_list: int, k: int) -> Dat
     need = lambda n: F.ceil(F.least(n, F.lit(k)) * least - 1e-9)
     by_size = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
     posts = reps.select("did", "n", F.explode("sketch").alias("v"))
-    common = checked_broadcast(materialize(posts.groupBy("v").agg(F.count("*").cast("int").alias("df")).where(F.col("df") > max_list), "common"))
+    # numbered from rare to frequent, so that numbers stand for values and their order
+    common = posts.groupBy("v").agg(F.count("*").alias("df")).where(F.col("df") > max_list).orderBy("df", "v").select("v", F.monotonically_increasing_id().alias("number"))
+    common = checked_broadcast(materialize(common, "common"))
 
     rest = posts.join(common, "v", "left_anti")
     a, b = (rest.select("v", F.col("did").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     # where one value is enough it counts twice
     weight = F.when(need(F.greatest("na", "nb")) <= 1, 2).otherwise(1)
     listed = a.join(b, "v").where((F.col("a") < F.col("b")) & by_size).groupBy("a", "b").agg(F.sum(weight).alias("shared")).where("shared >= 2")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("df", "v"))), lambda x: x["v"])
-    hot = materialize(posts.join(common, "v").groupBy("did", "n").agg(ordered.alias("hot")), "hot")
+    hot = materialize(posts.join(common, "v").groupBy("did", "n").agg(F.sort_array(F.collect_list("number")).alias("hot")), "hot")
     held = reps.select("did", "n").join(hot.select("did", F.size("hot").alias("h")), "did", "left").select("did", "n", F.coalesce("h", F.lit(0)).alias("h"))
     for x in "ab":
         listed = listed.join(held.select(F.col("did").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")), x)
@@ -185,6 +186,9 @@ def near_duplicates(df: DataFrame, ids: list[str], text: str, threshold: float =
     reps = table.join(others, "did", "left_anti")
     pairs = materialize(_candidates(reps.select("did", "n", "sketch"), threshold, max_list, k), "candidates")
 
+    # 31 bits keep the order and tell the values of two sketches apart
+    table = table.withColumn("short", F.transform("sketch", lambda v: F.shiftright(v, 17).cast("int")))
+
     def joined(pairs: DataFrame, column: str) -> DataFrame:
         wanted = checked_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct())
         some = table.join(wanted, "did", "left_semi").select("did", *ids * (column == "text"), column)
@@ -192,7 +196,7 @@ def near_duplicates(df: DataFrame, ids: list[str], text: str, threshold: float =
             pairs = pairs.join(some.select(F.col("did").alias(side), *[one.alias(f"i{side}")] * (column == "text"), F.col(column).alias(to)), side)
         return pairs
 
-    close = joined(pairs, "sketch").select("a", "b", "x", "y").mapInArrow(_estimated(least_estimate(threshold, k), k), "a long, b long")
+    close = joined(pairs, "short").select("a", "b", "x", "y").mapInArrow(_estimated(least_estimate(threshold, k), k), "a long, b long")
     close = materialize(close, "estimated")
     checked = joined(close, "text").select("ia", "ib", _similarity(threshold)("x", "y").alias("similarity"))
     links = checked.where(F.col("similarity") >= threshold).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")
