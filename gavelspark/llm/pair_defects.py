@@ -1,13 +1,16 @@
 """Problem 3: defective prompt and response pairs.
 
-Each side gets at most one defect, the first that holds of: ``empty``, ``refusal``, ``copy``, ``truncated``,
-``other_language``. The first four need that no verdict (a chosen letter) is named.
-
+Each side gets at most one defect, the first that holds of: ``empty``, ``copy``, ``refusal``, ``truncated``,
+``other_language``. The middle three need that no verdict (a chosen letter) is named.
+
+* ``EndModel``: likelihood of the end of a text. Over all responses it counts the n-grams of characters in front of a
+  lone letter, inside its sentence: how often at all, and how often in the last sentence of a text. An n-gram that
+  mostly stands at the end is the wording of a verdict, in whatever language; a text without one breaks off.
+  Longer n-grams fall back on shorter ones.
+* ``WholeModel``: which pairs of words the responses that name a verdict use. A text without verdict that consists of
+  such pairs is an answer that breaks off; one of other pairs does not answer at all: it refuses.
 * Languages of question and answer are compared by posteriors of a naive Bayes model over character n-grams of
   words. It is fitted on a bounded sample of labelled texts (``SAMPLE`` rows).
-* A text that names its verdict in a known wording is whole. Other endings are judged by ``EndModel``: over all
-  responses it counts the character n-grams in front of a lone letter, at the end of the text and anywhere. An
-  n-gram that mostly stands at the end is the wording of a verdict; a text without one breaks off.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.llm import shingles as S
+from gavelspark.session import materialize
 
 #: Labelled texts for the language model, taken in order of a hash of the text; and the characters read of each are all.
 SAMPLE = 3_000
@@ -31,40 +35,24 @@ NGRAM = 3
 LEAST_ODDS = 4.0
 #: Share of an answer's shingles that stand in the prompt, and of the question's that stand in the answer, from which the answer is a copy.
 COPY_OF_ANSWER, COPY_OF_QUESTION = 0.5, 0.5
-#: Length of the endings that the end model counts, and the least probability of an end for an unknown wording of a verdict.
-END_CHARS, END_PROBABILITY, END_COUNT = 10, 0.5, 8
-#: Most n-grams of endings held; a wording of a verdict ends far more texts than the rarest of so many.
-MAX_TAILS = 200_000
+#: Longest n-gram of the end model, weight of the next shorter one in occurrences, and least probability of an end.
+END_CHARS, BACKOFF, END_PROBABILITY = 16, 1.0, 0.5
+#: N-grams with less than this share of all lone letters are judged by their shorter ones; so at most END_CHARS / END_SHARE are held.
+END_SHARE = 5e-5
+#: Pairs of words on less than this share of the responses with a verdict count as unknown; so at most (pairs of an average response) / PAIR_SHARE are held.
+PAIR_SHARE = 2e-4
+#: Share of known pairs up to which a text is another kind of text than an answer, and least number of pairs to tell by what follows the thinking alone.
+FOREIGN, LEAST_PAIRS = 0.35, 4
 
 # Fillers for a missing value.
 FILLERS = {"null", "none", "nil", "nan", "n/a", "na", "undefined", "empty", "tbd", "todo", "missing", "void", "no answer", "no response"}
-# Words right before the chosen letter, and words that also need a colon, by language (en, de, es, fr, ru, zh).
-ANNOUNCE = (
-    "pick", "choose", "select", "choice is", "answer is", "verdict is", "correct program is", "correct one is", "winner is", "best is", "go with", "vote for", "solution is",
-    "wähle", "antwort ist", "antwort lautet", "richtig ist also", "richtig ist", "entscheide mich für",
-    "elijo", "escojo", "respuesta es", "programa correcto es", "opción correcta es",
-    "choisis", "réponse est", "bon programme est",
-    "выбираю", "верная программа —", "верная программа -", "правильная программа —",
-    "我选择", "我选", "选择", "答案是", "正确的程序是",
-)
-ANNOUNCE_COLON = ("choice", "answer", "verdict", "winner", "antwort", "urteil", "respuesta final", "respuesta", "veredicto", "réponse finale", "réponse", "ответ", "вердикт", "答案", "结论")
-# Words between the announcement and the letter.
-CANDIDATE_WORDS = ("the candidate", "candidate", "the program", "program", "option", "solution", "kandidat", "programm", "el candidato", "candidato", "el programa", "programa", "le candidat", "candidat", "programme", "кандидат", "программа", "候选程序", "候选", "程序")
-# Wordings of refusals, by language.
-REFUSALS = [
-    r"\bI(?:'m| am) (?:sorry|unable|not able|afraid)", r"\bI (?:can(?:'t|not| not)|won't|will not|must decline|have to (?:pass|decline)|do not feel comfortable|don't feel comfortable|would rather not|refuse|am not (?:able|allowed|going))\b(?! find)", r"\bI'd (?:rather|prefer) not\b",
-    r"\bI will not\b", r"\bmy (?:guidelines|policy|apologies)\b", r"\bas (?:a|an) (?:language model|ai|assistant)\b", r"\b(?:it would be inappropriate|it is not possible|not possible for me|nobody should expect me|cannot (?:help|assist|comply|answer))\b", r"\bunfortunately I\b", r"\bdecline to\b", r"\bsorry, (?:no|but)\b",
-    r"es tut mir leid", r"(?:leider|bedaure)\b.*\b(?:nicht|unmöglich)", r"ich (?:kann|darf|möchte|werde)\b.*\bnicht", r"lieber nicht", r"nicht möglich",
-    r"lo siento", r"lamentablemente", r"no (?:me es posible|puedo (?:ayudar|responder|evaluar|elegir|comparar|dar))", r"prefiero no", r"me niego",
-    r"je suis désolée?", r"malheureusement", r"je (?:ne peux pas|préfère ne pas|refuse)", r"m'est impossible",
-    r"к сожалению", r"извините", r"простите", r"не могу (?:помочь|ответить|выбрать|сравн|оцени|выполн|сделать|дать)", r"я (?:не могу|отказываюсь|не буду)", r"вынужден[а]? отказать",
-    r"我拒绝", r"抱歉", r"对不起", r"很遗憾", r"无法(?:帮助|回答|选择|比较|评|协助|提供|完成|满足)", r"不能(?:帮助|回答|选择|比较|评|协助|提供)", r"我不(?:能|会|便|愿)", r"恕我",
-]
 
 _LETTER = r"[A-H]"
-_MARKS = re.compile(rf"\\boxed\{{[\s\[\]*]*(?:[Cc]andidate\s*)?{_LETTER}[\s\[\]*]*\}}|\[\[\s*{_LETTER}\s*\]\]|\*\*\s*{_LETTER}\s*\.?\*\*|(?m:^\s*[(\"']?{_LETTER}[)\"'.]?\s*$)")
+# Marks around a letter that make it a verdict in any text.
+_MARKS = re.compile(rf"\\boxed\{{[\s\[\]*]*{_LETTER}[\s\[\]*]*\}}|\[\[\s*{_LETTER}\s*\]\]|\*\*\s*{_LETTER}\s*\.?\*\*|(?m:^\s*[(\"']?{_LETTER}[)\"'.]?\s*$)")
 _LONE = re.compile(rf"(?<![A-Za-z0-9_\\]){_LETTER}(?![A-Za-z0-9_'’])")
-_REFUSAL = re.compile("|".join(REFUSALS), re.I)
+_STOP = re.compile(r"[。！？]|[.!?](?:\s|$)|\n")
+_CLOSED = re.compile(r"</\s*think\s*>", re.I)
 _THINK = re.compile(r"</?\s*think\s*>", re.I)
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _TAG = re.compile(r"<[^<>\n]{0,80}>")
@@ -73,6 +61,7 @@ _CANDIDATES = re.compile(r"\[CANDIDATE_[A-Z]\].*?(?:\[/CANDIDATE_[A-Z]\]|\Z)", r
 _IDENTIFIER = re.compile(r"\b\w*(?:_\w+|\d\w*|[a-z][A-Z]\w*)\b|`[^`\n]*`")
 _INVISIBLE = regex.compile(r"[[\p{Cf}\p{Cc}\p{Cn}\p{Co}\u115f\u1160\u3164\uffa0\u2800]--\s]", regex.V1)
 _PROSE_WORD = re.compile(r"[^\W\d_]+")
+_PAIR_WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[[^\W\d_]--[\p{Han}\p{Hiragana}\p{Katakana}]]+", regex.V1)
 
 
 def visible(text: str) -> str:
@@ -89,50 +78,75 @@ def is_empty(text: str | None) -> bool:
     return rest in FILLERS or not any(c.isalnum() for c in rest)
 
 
-def _announced(before: str) -> bool:
-    """Whether the words right in front of a lone letter announce a verdict."""
-    rest = before.lower().rstrip(" \t\n*\"'([")
-    for word in CANDIDATE_WORDS:
-        if rest.endswith(word):
-            rest = rest[: -len(word)].rstrip(" \t\n*\"'([")
-            break
-    if rest.endswith(ANNOUNCE):
-        return True
-    return rest.endswith((":", "：")) and rest.rstrip(" :：*").endswith(ANNOUNCE_COLON + ANNOUNCE)
-
-
-def named_letter(text: str) -> bool:
-    """Whether a verdict is named in a known wording."""
-    return bool(_MARKS.search(text)) or any(_announced(text[max(0, m.start() - 48) : m.start()]) for m in _LONE.finditer(text))
-
-
 def masked(text: str) -> str:
     """The text with identifiers and numbers replaced, so that wordings can be counted."""
     return re.sub(r"\d+", "0", _IDENTIFIER.sub("\x01", text))
 
 
 def _tail(text: str, at: int) -> str:
-    return masked(text[max(0, at - 60) : at])[-END_CHARS:]
+    """What stands in front of a place, inside its sentence; a mark is the beginning of the sentence."""
+    begin = max(0, at - 80)
+    before = text[begin:at]
+    start = max((m.end() for m in _STOP.finditer(before)), default=0)
+    opening = "^" if start or not begin else ""
+    return (opening + " ".join(masked(before[start:]).lower().split(" ")).lstrip())[-END_CHARS:]
 
 
 def letter_tails(text: str) -> list[tuple[str, bool]]:
-    """(n-gram in front of a lone letter, whether the text ends with that letter), closing marks aside."""
-    last = len(text.rstrip().rstrip(".!)]}*\"'。"))
-    return [(_tail(text, m.start()), m.end() >= last) for m in _LONE.finditer(text)]
+    """(n-gram in front of a lone letter, whether it stands in the last sentence of the text), closing marks aside."""
+    text = _THINK.sub("\n", text).rstrip()
+    last = max((m.end() for m in _STOP.finditer(text.rstrip(".!)]}*\"'。 \n"))), default=0)
+    return [(_tail(text, m.start()), m.start() >= last) for m in _LONE.finditer(text)]
 
 
 class EndModel:
-    """Counts of n-grams in front of lone letters: of those that end a text, and of all."""
+    """Probability that an n-gram in front of a lone letter belongs to the last sentence; ``counts`` has (all, at the end)
+    by n-gram, of the empty one those of all letters."""
 
-    def __init__(self, ends: dict[str, int], anywhere: dict[str, int]):
-        self.ends, self.anywhere = ends, anywhere
+    def __init__(self, counts: dict[str, tuple[int, int]]):
+        self.counts = counts
+        self._known: dict[str, float] = {}
 
     def probability(self, tail: str) -> float:
-        """Share of the occurrences of ``tail`` that end a text; 0 for rare ones."""
-        return self.ends.get(tail, 0) / self.anywhere[tail] if self.ends.get(tail, 0) >= END_COUNT else 0.0
+        found = self._known.get(tail)
+        if found is None:
+            if len(self._known) > 200_000:
+                self._known.clear()
+            found = 0.0
+            for n in range(len(tail) + 1):
+                held = self.counts.get(tail[len(tail) - n :])
+                if held is None:
+                    break
+                found = (held[1] + BACKOFF * found) / (held[0] + BACKOFF)
+            self._known[tail] = found
+        return found
 
     def names_letter(self, text: str) -> bool:
-        return any(end and self.probability(tail) >= END_PROBABILITY for tail, end in letter_tails(text))
+        return bool(_MARKS.search(text)) or any(self.probability(tail) >= END_PROBABILITY for tail, _ in letter_tails(text))
+
+
+def word_pairs(text: str) -> set[str]:
+    """Pairs of neighbouring words inside the sentences of a text's prose; in scripts without blanks, of characters."""
+    found: set[str] = set()
+    for sentence in _STOP.split(_IDENTIFIER.sub(" ", _TAG.sub("\n", _FENCE.sub("\n", text)))):
+        held = [w.lower() for w in _PAIR_WORD.findall(sentence)]
+        found.update(f"{x} {y}" for x, y in zip(held, held[1:]))
+    return found
+
+
+class WholeModel:
+    """The pairs of words that responses with a verdict use."""
+
+    def __init__(self, pairs: set[str]):
+        self.pairs = pairs
+
+    def refuses(self, text: str) -> bool:
+        """Whether a text without verdict consists of other pairs: the full sentences after the thinking, if they are long enough to tell."""
+        parts = _CLOSED.split(text)
+        ends = [m.end() for m in _STOP.finditer(parts[-1] + "\n" * parts[-1].rstrip().endswith((".", "!", "?")))]
+        found = word_pairs(parts[-1][: max(ends, default=0)]) if len(parts) > 1 else set()
+        found = found if len(found) >= LEAST_PAIRS else word_pairs(text)
+        return bool(found) and len(found & self.pairs) <= FOREIGN * len(found)
 
 
 def prose(text: str) -> list[str]:
@@ -211,7 +225,7 @@ def is_copy(prompt: str, answer: str) -> bool:
     return len(given & whole) >= COPY_OF_ANSWER * len(given) and (len(given & question) >= COPY_OF_QUESTION * max(1, len(question)) or len(given & whole) >= COPY_OF_QUESTION * len(whole))
 
 
-def defects(prompt: str | None, answers: list[str | None], languages: LanguageModel, ends: EndModel) -> list[str | None]:
+def defects(prompt: str | None, answers: list[str | None], languages: LanguageModel, ends: EndModel, whole: WholeModel) -> list[str | None]:
     """The defect of each answer to one prompt, or None."""
     asked: dict[str, float] = {}
     out: list[str | None] = []
@@ -220,13 +234,11 @@ def defects(prompt: str | None, answers: list[str | None], languages: LanguageMo
             out.append("empty")
             continue
         text = visible(answer)
-        if not (named_letter(text) or ends.names_letter(text)):
+        if not ends.names_letter(text):
             if prompt and is_copy(visible(prompt), text):
                 out.append("copy")
-            elif _REFUSAL.search(_FENCE.sub(" ", text).replace("’", "'")):
-                out.append("refusal")
             else:
-                out.append("truncated")
+                out.append("refusal" if whole.refuses(text) else "truncated")
             continue
         if prompt and not asked:
             asked = languages.scores(prose(question_of(visible(prompt))))
@@ -235,12 +247,12 @@ def defects(prompt: str | None, answers: list[str | None], languages: LanguageMo
 
 
 def end_model(responses: DataFrame) -> EndModel:
-    """Counted over all responses (text), partially in the workers; only n-grams that end END_COUNT texts reach the driver."""
+    """Counted over all responses (text), partially in the workers; END_SHARE bounds what reaches the driver."""
 
     def tails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ends: Counter = Counter()
             every: Counter = Counter()
+            ends: Counter = Counter()
             for text in f.text:
                 for tail, end in letter_tails(visible(text)):
                     every[tail] += 1
@@ -248,10 +260,31 @@ def end_model(responses: DataFrame) -> EndModel:
             yield pd.DataFrame({"tail": list(every), "n": list(every.values()), "ends": [ends[t] for t in every]})
 
     counted = responses.where("text is not null").select("text").mapInPandas(tails, "tail string, n long, ends long")
-    kept = counted.groupBy("tail").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).where(F.col("ends") >= END_COUNT)
-    # at most rows / END_COUNT n-grams could pass, each seen often; MAX_TAILS bounds what is held
-    rows = kept.orderBy(F.col("ends").desc(), "tail").limit(MAX_TAILS).collect()
-    return EndModel({r.tail: r.ends for r in rows}, {r.tail: r.n for r in rows})
+    counted = counted.groupBy("tail").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    suffixes = F.transform(F.sequence(F.lit(0), F.length("tail")), lambda n: F.right("tail", n))
+    counted = materialize(counted.select(F.explode(suffixes).alias("tail"), "n", "ends").groupBy("tail").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")), "tails")
+    total = (counted.where("tail = ''").agg(F.sum("n")).first()[0]) or 0
+    rows = counted.where(F.col("n") >= END_SHARE * total).toArrow().to_pylist()
+    return EndModel({r["tail"]: (r["n"], r["ends"]) for r in rows})
+
+
+def whole_model(responses: DataFrame, ends) -> WholeModel:
+    """Counted over all responses (text) that name a verdict by the (broadcast) end model; PAIR_SHARE bounds what reaches the driver."""
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            seen: Counter = Counter()
+            for text in f.text:
+                shown = visible(text)
+                if ends.value.names_letter(shown):
+                    seen.update(word_pairs(shown))
+                    seen[""] += 1
+            yield pd.DataFrame({"pair": list(seen), "n": list(seen.values())})
+
+    counted = responses.where("text is not null").select("text").mapInPandas(pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "pairs")
+    total = (counted.where("pair = ''").agg(F.sum("n")).first()[0]) or 0
+    return WholeModel(set(counted.where(F.col("n") >= PAIR_SHARE * total).where("pair <> ''").select("pair").toArrow()["pair"].to_pylist()))
 
 
 def language_model(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
@@ -273,16 +306,17 @@ def pair_defects(pairs: DataFrame, labelled: DataFrame) -> DataFrame:
     """
     responses = pairs.select(F.explode(F.array("chosen", "rejected")).alias("text"))
     sc = pairs.sparkSession.sparkContext
-    sent = sc.broadcast((language_model(labelled), end_model(responses)))
+    ends_only = sc.broadcast(end_model(responses))
+    sent = sc.broadcast((language_model(labelled), ends_only.value, whole_model(responses, ends_only)))
     id_type = pairs.schema["pair_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        languages, ends = sent.value
+        languages, ends, whole = sent.value
         text = lambda x: x if isinstance(x, str) else None
         for f in frames:
             rows = []
             for pair, prompt, chosen, rejected in zip(f.pair_id, f.prompt, f.chosen, f.rejected):
-                for side, found in zip(("chosen", "rejected"), defects(text(prompt), [text(chosen), text(rejected)], languages, ends)):
+                for side, found in zip(("chosen", "rejected"), defects(text(prompt), [text(chosen), text(rejected)], languages, ends, whole)):
                     if found:
                         rows.append((pair, side, found))
             yield pd.DataFrame(rows, columns=["pair_id", "side", "defect"])

@@ -90,36 +90,70 @@ GERMAN = ["Die Schleife endet zu früh, daher fehlt der letzte Eintrag der Liste
 PROMPT = "Which program is right for the given task? Count the ways to place the towers on the board. Print one number.\n[CANDIDATE_A]\nprint(1)\n[/CANDIDATE_A]\n[CANDIDATE_B]\nprint(2)\n[/CANDIDATE_B]"
 
 
+WORDINGS = ["I pick {}", "My choice is {}, the others fail", "Final answer: {}", "So the right program is candidate {}.", "Ich wähle {}", "Elijo {}"]
+REASONS = ["In candidate {} the counter is not reset between towers.", "I can't find a failing case for {} with 3 rooks.", "Candidate {} mishandles ties between two boards."]
+
+
+def corpus(rng, size=120):
+    """Responses with a verdict, last or first, and some that break off."""
+    out = []
+    for i in range(size):
+        body = [rng.choice(REASONS).format(rng.choice("ABC")) for _ in range(rng.randint(2, 4))] + [rng.choice(ENGLISH)]
+        rng.shuffle(body)
+        verdict = rng.choice(WORDINGS).format(rng.choice("ABC"))
+        out.append({0: verdict + "\n\n" + " ".join(body), 1: " ".join(body)[:-7]}.get(i % 10, " ".join(body) + "\n\n" + verdict))
+    return out
+
+
 def test_defects(spark):
     answers = {
         "empty": [None, "", " \n​", "<think>\n</think>", "```\n```", "\\boxed{ }", "null", "N/A", "...", "﻿"],
         "copy": [PROMPT, PROMPT.upper(), "Sure, here it is.\n" + "\n".join("> " + x for x in PROMPT.splitlines()), PROMPT.split("\n")[0]],
-        "refusal": ["I'm sorry, but I can't help with this request.", "<think>\nI won't compare these programs.\n</think>", "Lo siento, no puedo evaluar esto.", "我拒绝协助处理这个请求。"],
-        "truncated": [ENGLISH[0] + " The helper retur", "<think>\n" + ENGLISH[1] + "\n</think>", ENGLISH[0] + "\n\n\\boxed{", "I can't find a failing case for A with 3 rooks"],
+        "refusal": ["I'm sorry, but I can't help with this request.", "<think>\nI won't compare these programs.\n</think>", "Lo siento, no puedo evaluar esto.", "我拒绝协助处理这个请求。", "<think>\n" + ENGLISH[1] + "\n</think>\nUnfortunately nobody may expect me to judge such code."],
+        "truncated": [ENGLISH[0] + " The helper retur", "<think>\n" + ENGLISH[1] + "\n</think>", ENGLISH[0] + "\n\n\\boxed{", ENGLISH[1] + " I can't find a failing case for A with 3 rooks", ENGLISH[1] + " I can't f"],
         "other_language": [SPANISH[0] + " " + SPANISH[1] + "\n\\boxed{A}", GERMAN[1] + "\n\nIch wähle B"],
-        None: [ENGLISH[0] + " I pick B", "\\boxed{A}", "**A**", "[[B]]", "I pick A\n\n" + ENGLISH[1] + " and", ENGLISH[1] + " Final answer: B"],
+        None: [ENGLISH[0] + " I pick B", "\\boxed{A}", "**A**", "[[B]]", "I pick A\n\n" + ENGLISH[1] + " and", ENGLISH[1] + " Final answer: B", ENGLISH[0] + "\nMy choice is B, the others fail"],
     }
     rows = [(kind, a) for kind, many in answers.items() for a in many]
+    rows += [("rest", a) for a in corpus(random.Random(1))]
     pairs = spark.createDataFrame([(i, PROMPT, a, "\\boxed{A}", "clash") for i, (_, a) in enumerate(rows)], "pair_id long, prompt string, chosen string, rejected string, defect string")
     labelled = spark.createDataFrame([(c, t) for c, ts in (("en", ENGLISH * 3), ("es", SPANISH * 3), ("de", GERMAN * 3)) for t in ts] + [(None, "x"), ("en", None)], "language string, text string")
     got = {(r.pair_id, r.side): r.defect for r in D.pair_defects(pairs.union(pairs.where("pair_id < 3")), labelled).collect()}
-    assert got == {(i, "chosen"): kind for i, (kind, _) in enumerate(rows) if kind}
+    rest = {i for i, (kind, _) in enumerate(rows) if kind == "rest"}
+    assert {k: v for k, v in got.items() if k[0] not in rest} == {(i, "chosen"): kind for i, (kind, _) in enumerate(rows) if kind and kind != "rest"}
+    # the others: one of ten breaks off
+    assert {i for i in rest if got.get((i, "chosen")) == "truncated"} == {i for i in rest if (i - min(rest)) % 10 == 1}
     assert D.pair_defects(pairs.where("false"), labelled).count() == 0
-    assert {r.defect for r in D.pair_defects(pairs.select(F.lit(None).cast("long").alias("pair_id"), F.lit(None).cast("string").alias("prompt"), "chosen", "rejected"), labelled.where("false")).collect()} == {"empty", "refusal", "truncated"}
+    nulls = pairs.where("pair_id < 3").select(F.lit(None).cast("long").alias("pair_id"), F.lit(None).cast("string").alias("prompt"), "chosen", "rejected")
+    assert {r.defect for r in D.pair_defects(nulls, labelled.where("false")).collect()} == {"empty"}
+
+
+def fitted(spark):
+    responses = spark.createDataFrame([(t,) for t in corpus(random.Random(2), 200)] + [(None,), ("",)], "text string")
+    ends = spark.sparkContext.broadcast(D.end_model(responses))
+    return ends.value, D.whole_model(responses, ends)
 
 
-def test_defects_of_a_long_answer():
-    ends = D.EndModel({}, {})
+def test_wordings_of_verdicts_are_learned(spark):
+    ends, whole = fitted(spark)
     model = D.fit_languages([("en", t) for t in ENGLISH])
     long = " ".join(ENGLISH) * 3000
-    assert D.defects(PROMPT, [long, long + " I pick A"], model, ends) == ["truncated", None]
+    texts = [f"{ENGLISH[0]} {w.format('C')}" for w in WORDINGS] + [long, long + " I pick A"]
+    found = D.defects(PROMPT, texts, model, ends, whole)
+    assert found == [None] * len(WORDINGS) + ["truncated", None]
+    # without the model of ends no wording is known
+    emptied = D.defects(PROMPT, texts, model, D.EndModel({}), whole)
+    assert set(emptied) == {"truncated"}
+    assert all(ends.probability(D._tail(r.format("A"), r.index("{}"))) < D.END_PROBABILITY for r in REASONS)
 
 
-def test_unknown_wording_of_a_verdict_is_learned():
-    tail = D._tail("my final guess goes to ", 23)
-    ends = D.EndModel({tail: 30}, {tail: 32})
+def test_refusals_are_other_texts_than_answers(spark):
+    ends, whole = fitted(spark)
     model = D.fit_languages([("en", t) for t in ENGLISH])
-    assert D.defects(PROMPT, ["So my final guess goes to C"], model, ends) == [None]
+    refusals = ["My guidelines keep me from judging code of strangers.", "Bitte wenden Sie sich an einen Menschen, das mache ich nicht."]
+    assert D.defects(PROMPT, refusals, model, ends, whole) == ["refusal"] * 2
+    assert D.defects(PROMPT, ["<think>\n" + ENGLISH[0] + "\n</think>\n" + refusals[0], "<think>\n" + ENGLISH[0] + "\n</think>\nFor Tavcor the expected out"], model, ends, whole) == ["refusal", "truncated"]
+    assert not D.WholeModel(set()).refuses("")
 
 
 def test_leaks_equal_brute_force(spark):
