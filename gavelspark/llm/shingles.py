@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +22,17 @@ GROUP_CHARS = 1_000_000
 #: A slice of a batch holds about so many bytes of text, and at most so many texts.
 SLICE_BYTES, SLICE_ROWS = 4_000_000, 1 << 13
 _SPACE, _WORD, _OTHER = 0, 1, 2
-_KINDS: list[np.ndarray] = []
 
 
-def _kinds() -> np.ndarray:
-    """Kind of each code point (space, word, other) as the pattern sees it; made once in a process."""
-    if not _KINDS:
-        points = [chr(c) if not 0xD800 <= c < 0xE000 else "?" for c in range(0x110000)]
-        kinds = np.full(0x110000, _OTHER, np.uint8)
-        kinds[[i for i, c in enumerate(points) if c.isspace()]] = _SPACE
-        kinds[[i for i, c in enumerate(points) if c.isalnum() or c == "_"]] = _WORD
-        _KINDS.append(kinds)
-    return _KINDS[0]
+@cache
+def _kinds(words_only: bool) -> np.ndarray:
+    """Kind of each code point (space, word, other) as the pattern sees it; made once in a process. With ``words_only``
+    all but letters and digits is space."""
+    points = [chr(c) if not 0xD800 <= c < 0xE000 else "?" for c in range(0x110000)]
+    kinds = np.full(0x110000, _SPACE if words_only else _OTHER, np.uint8)
+    kinds[[i for i, c in enumerate(points) if c.isspace()]] = _SPACE
+    kinds[[i for i, c in enumerate(points) if c.isalnum() or c == "_" and not words_only]] = _WORD
+    return kinds
 
 
 def _bytes(texts: pa.Array) -> np.ndarray:
@@ -71,8 +71,9 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def flat_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all tokens of all texts, one after the other, and the number of tokens of each text.
+def flat_hashes(texts: list[str | None], words_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all tokens of all texts, one after the other, and the number of tokens of each text; with
+    ``words_only`` of the longest runs of letters and digits.
 
     Texts are handled in groups of about ``GROUP_CHARS`` characters, each as one array of code points; what is held
     beside the hashes does not grow with the number of texts.
@@ -81,21 +82,21 @@ def flat_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for i, text in enumerate(texts):
         held += len(text or "") + 1
         if held >= GROUP_CHARS or i + 1 == len(texts):
-            h, c = _group_hashes(texts[start : i + 1])
+            h, c = _group_hashes(texts[start : i + 1], words_only)
             hashes.append(h)
             counts.append(c)
             start, held = i + 1, 0
     return np.concatenate(hashes), np.concatenate(counts)
 
 
-def _group_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def _group_hashes(texts: list[str | None], words_only: bool) -> tuple[np.ndarray, np.ndarray]:
     """A token's hash is the sum of its code points, each times a random odd word that belongs to its place in the token."""
     lower = [t.lower() if t else "" for t in texts]
     lengths = np.fromiter(map(len, lower), np.int64, len(lower))
     points = np.frombuffer("\n".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(points):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    kind = _kinds()[points]
+    kind = _kinds(words_only)[points]
     word = kind == _WORD
     start = kind == _OTHER
     start[0] |= word[0]

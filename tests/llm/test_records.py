@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -169,7 +170,8 @@ def test_leaks_equal_brute_force(spark):
             parts[5:5] = [w.upper() + rng.choice([",", "-", " ", "\n"]) for w in source[start : start + size]]
         docs.append((d, " ".join(parts)))
     docs += [(200, None), (201, ""), (None, items[0][1]), (202, items[1][1] * 300), (202, items[1][1] * 300)]
-    grams = lambda t: {tuple(w[k : k + 13]) for w in [L.words(t)] for k in range(len(w) - 12)}
+    split = lambda t: [w.lower() for w in re.findall(r"[^\W_]+", t or "")]
+    grams = lambda t: {tuple(w[k : k + 13]) for w in [split(t)] for k in range(len(w) - 12)}
     expected = {(d, i) for d, t in docs for i, u in items if d is not None and i is not None and grams(t) & grams(u)}
     documents = spark.createDataFrame([(d, t, "c") for d, t in docs], "doc_id long, text string, item_id string")
     held = spark.createDataFrame([(i, t, "c") for i, t in items + items[:2]], "item_id long, text string, doc_id string")
@@ -179,12 +181,22 @@ def test_leaks_equal_brute_force(spark):
     assert L.leaked_items(documents.where("false"), held).count() == 0
 
 
-def test_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(L, "MAX_PATTERNS", 10)
+def test_search_of_many_patterns_is_small_and_right():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"v{k}" for k in rng.integers(0, 50_000, 2_000)) for _ in range(300)]
+    search = L.PatternSearch(texts)
+    size = sum(x.nbytes for x in (search.words, search.shift, search.keys, search.places, search.owners))
+    assert size < 10 * sum(map(len, texts))
+    inside = lambda i, at, n: " ".join(texts[i].split()[at : at + n])
+    docs = ["x " * 700 + inside(7, 1987, 13), "ÀÉ " + inside(9, 0, 13).upper() + " y", inside(5, 100, 12), "", None, inside(3, 0, 2000) * 2 + " " + inside(4, 5, 20)]
+    assert list(zip(*map(list, search.find(docs)))) == [(0, 7), (1, 9), (5, 3), (5, 4)]
+
+
+def test_several_passes(spark):
     text = " ".join(f"w{i}" for i in range(20))
     documents = spark.createDataFrame([(1, text)], "doc_id long, text string")
     held = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words " * 10)], "item_id long, text string")
-    assert {tuple(r) for r in L.leaked_items(documents, held).collect()} == {(1, 1), (1, 2)}
+    assert {tuple(r) for r in L.leaked_items(documents, held, max_bytes=10).collect()} == {(1, 1), (1, 2)}
 
 
 PIECES = {
