@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,6 +53,7 @@ EMAIL = re.compile(
     rf"{_LOCAL}(?:@|{_AT}){_LABEL}(?:(?:\.|{_DOT}){_LABEL})*(?:\.|{_DOT})[A-Za-z]{{2,}}(?![\w@])|{_LOCAL}[ \t]+at[ \t]+{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}(?!\w)",
     re.I,
 )
+_AT_MARK = re.compile(r"[\[({]\s*at\s*[\])}]", re.I)
 _EXT = r"(?:\s*(?:,\s*)?(?:ext(?:ension)?\.?|x)\s*\d{1,5})?"
 _PHONE_FORMS = [
     r"\+\d{1,3}[ .-]?\(0\)[ .-]?\d{1,4}(?:[ .-]?\d{2,4}){1,4}",
@@ -69,27 +71,42 @@ _PHONE_FORMS = [
 ]
 PHONE = re.compile(rf"(?<![\w.+/@-])(?:{'|'.join(_PHONE_FORMS)})(?![\w/@]|[.-]\d){_EXT}", re.I)
 _LABELLED_PHONE = re.compile(rf"\b{PHONE_LABELS}\b[\s:=.]*(?:is\s+)?[\"']?([+(]?\d[\d ()./-]{{7,18}}\d{_EXT})", re.I)
-ID = re.compile(
-    rf"(?<![\w.-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-])|(?<![\w])QQ ?\d\d ?\d\d ?\d\d ?[A-D](?!\w)|(?<![\w.-])X\d{{7}}(?!\w)|(?<![\w.-])\d{{9}}-[A-Z]\d(?!\w)|\b{ID_LABELS}\b[\s.:=#]*(?:(?:is|ist|es)\s+)?[\s:=]*(\d{{3}}[ -]?\d{{2}}[ -]?\d{{4}}|[A-Z]{{1,2}}\d{{6,8}}|[A-Z]{{2}} ?\d\d ?\d\d ?\d\d ?[A-Z]|\d{{8}}[A-Z]|\d{{9,11}}(?:-[A-Z]\d)?)(?!\w)",
-    re.I,
-)
+# a national insurance number has two letters that no other form has: the prefix of examples or letters in use; in front of a
+# passport number stands one letter
+_PLAIN_ID = re.compile(r"(?<![\w.-])(?:\d{3}-\d{2}-\d{4}(?![\w-])|\d{9}-[A-Z]\d(?!\w)|(?:QQ|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z])(?: ?\d\d){3} ?[A-D](?!\w)|[A-Z]\d{7}(?!\w))")
+_PLAIN_ID_SMALL = re.compile(_PLAIN_ID.pattern, re.I)
+_LABELLED_ID = re.compile(rf"\b{ID_LABELS}\b[\s.:=#]*(?:(?:is|ist|es)\s+)?[\s:=]*(\d{{3}}[ -]?\d{{2}}[ -]?\d{{4}}|[A-Z]{{1,2}}\d{{6,8}}|[A-Z]{{2}} ?\d\d ?\d\d ?\d\d ?[A-Z]|\d{{8}}[A-Z]|\d{{9,11}}(?:-[A-Z]\d)?)(?!\w)", re.I)
 _CAP = r"[^\W\d_][^\W\d_'’]*"
 _TOWN = rf"{_CAP}(?:-{_CAP})*"
 _GAP = r",\s+"
 _US = rf"(?:{_GAP}(?:(?:apt|suite|ste|unit|apartment|floor|fl|room|rm)\.?\s+\w+|#\s*\w+))?{_GAP}{_TOWN}(?:{_GAP}[A-Z]{{2}}\s+\d{{5}}(?:-\d{{4}})?)?"
-ADDRESS = re.compile(
-    rf"(?<![\w.-])(?:(?:flat|apartment|unit)\s+\w+{_GAP})?\d{{1,5}}[a-z]?\s+(?:{_CAP}\s+){{1,3}}{STREETS_AFTER}\b\.?{_US}"
-    rf"|(?<![\w.-])\b[^\W\d_]{{3,}}{STREETS_JOINED}\s+\d{{1,4}}[a-z]?{_GAP}\d{{4,5}}\s+{_TOWN}"
-    rf"|(?<![\w.-])\d{{1,4}}(?:\s+(?:bis|ter|quater))?,?\s+{STREETS_BEFORE_FR}\s+(?:[^\W\d_][\w'’.-]*\s+){{0,4}}?[^\W\d_][\w'’.-]*{_GAP}\d{{4,5}}\s+{_TOWN}"
-    rf"|(?<![\w.-])\b{STREETS_BEFORE_ES}\s+(?:[^\W\d_][\w'’.-]*\s+){{1,5}}?\d{{1,4}}(?:{_GAP}\d{{1,2}}\s?[ºª°](?:\s?[A-Z])?)?{_GAP}\d{{4,5}}\s+{_TOWN}",
-    re.I,
-)
-_FAMILY = re.compile(r"(?<![\w@.+-])([^\W\d_]{4,}(?:-[^\W\d_]{4,})?)(?![\w@])")
+# address forms by the words that they cannot do without
+ADDRESSES = [
+    (STREETS_AFTER, rf"(?<![\w.-])(?:(?:flat|apartment|unit)\s+\w+{_GAP})?\d{{1,5}}[a-z]?\s+(?:{_CAP}\s+){{1,3}}{STREETS_AFTER}\b\.?{_US}"),
+    (rf"\w*{STREETS_JOINED}", rf"(?<![\w.-])\b[^\W\d_]{{3,}}{STREETS_JOINED}\s+\d{{1,4}}[a-z]?{_GAP}\d{{4,5}}\s+{_TOWN}"),
+    (STREETS_BEFORE_FR, rf"(?<![\w.-])\d{{1,4}}(?:\s+(?:bis|ter|quater))?,?\s+{STREETS_BEFORE_FR}\s+(?:[^\W\d_][\w'’.-]*\s+){{0,4}}?[^\W\d_][\w'’.-]*{_GAP}\d{{4,5}}\s+{_TOWN}"),
+    (STREETS_BEFORE_ES, rf"(?<![\w.-])\b{STREETS_BEFORE_ES}\s+(?:[^\W\d_][\w'’.-]*\s+){{1,5}}?\d{{1,4}}(?:{_GAP}\d{{1,2}}\s?[ºª°](?:\s?[A-Z])?)?{_GAP}\d{{4,5}}\s+{_TOWN}"),
+]
+_ADDRESSES = [(re.compile(words, re.I), re.compile(form, re.I)) for words, form in ADDRESSES]
+_PART = r"(?:[^\W\d_]['’])?[^\W\d_]{2,}"
+_FAMILY = re.compile(rf"(?<![\w@.+-])({_PART}(?:-{_PART})?)(?![\w@])")
+# the same for words that begin with none of the usual small letters
+_CAPITAL = re.compile(rf"(?<![\w@.+-])(?![a-zß-öø-ÿа-яё\u4e00-\u9fff])({_PART}(?:-{_PART})?)(?![\w@])")
+_SMALL_WORD = re.compile(r"[^\W\d_]+")
+# words of the labels
+_ID_WORDS = {"ssn", "social", "tax", "taxpayer", "tin", "itin", "steuer", "steuerid", "steuernummer", "insurance", "national", "ni", "nino", "passport", "reisepass", "travel", "identity", "id", "personalausweis", "ausweis", "dni", "nie"}
+_PHONE_WORDS = {"tel", "telephone", "teléfono", "phone", "call", "text", "mobile", "cell", "fax", "contact", "number", "num", "numéro", "handy", "móvil", "ring", "whatsapp", "sms"}
 _BEFORE = re.compile(r"(?<![\w@.+-])([^\W\d_]{2,}|[^\W\d_]\.?)(\s+[^\W\d_]\.?)?\s+$")
 _AFTER = re.compile(r",\s+([^\W\d_]{2,}(?!\w)(?![@.+-]\w)(?:\s+[^\W\d_]\.(?!\w))?|[^\W\d_]\.(?!\w)(?:\s*[^\W\d_]\.(?!\w))?)")
 _CONTEXT = re.compile(r"([^\W\d_]+)[^\w]*\s*([^\W\d_]+)?[^\w]*$")
 
 
+@lru_cache(200_000)
+def _street(word: str) -> int:
+    """Bits of the address forms that a word may stand for."""
+    return sum(1 << k for k, (words, _) in enumerate(_ADDRESSES) if words.fullmatch(word))
+
+
 def _spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all pieces but names; of overlapping ones the kind that comes first here."""
     taken: list[tuple[int, int, str]] = []
@@ -98,10 +115,29 @@ def _spans(text: str) -> list[tuple[int, int, str]]:
         if all(end <= a or b <= start for a, b, _ in taken):
             taken.append((start, end, kind))
 
-    for kind, pattern in (("email", EMAIL), ("address", ADDRESS), ("id", ID), ("phone", PHONE), ("phone", _LABELLED_PHONE)):
-        for m in pattern.finditer(text):
-            group = 1 if pattern.groups and m.group(1) else 0
-            add(*m.span(group), kind)
+    # each form is tried only where a character or word stands that it cannot do without
+    small = text.lower()
+    held = set(_SMALL_WORD.findall(small))
+    if "@" in text or _AT_MARK.search(text) or "at" in held and "dot" in held:
+        for m in EMAIL.finditer(text):
+            add(*m.span(), "email")
+    streets = 0
+    for word in held:
+        streets |= _street(word)
+    for k, (_, form) in enumerate(_ADDRESSES):
+        if streets >> k & 1:
+            for m in form.finditer(text):
+                add(*m.span(), "address")
+    for m in (_PLAIN_ID_SMALL if small == text else _PLAIN_ID).finditer(text):
+        add(*m.span(), "id")
+    if not held.isdisjoint(_ID_WORDS):
+        for m in _LABELLED_ID.finditer(text):
+            add(*m.span(1), "id")
+    for m in PHONE.finditer(text):
+        add(*m.span(), "phone")
+    if not held.isdisjoint(_PHONE_WORDS):
+        for m in _LABELLED_PHONE.finditer(text):
+            add(*m.span(1), "phone")
     return taken
 
 
@@ -114,22 +150,28 @@ def _context(text: str, start: int) -> str:
     return f"{second or first}|{first} {second}"
 
 
-def name_candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, int, str, str, str, int]]:
+def name_candidates(text: str, spans: list[tuple[int, int, str]], uses: Counter) -> list[tuple[int, int, int, str, str, str, int]]:
     """(start, end, place of the family name, given, family, context, side) of everything of the form of a name.
 
     Both words begin with a capital, or the given name is an initial; in texts without capitals any two words
-    may be a name. side 0: given name first, 1: family name first.
+    may be a name. side 0: given name first, 1: family name first. Capitalised words are counted in ``uses``.
     """
     out = []
     no_capitals = text == text.lower()
     # a word of the text stands in a found piece if its start does
     inside = sorted((a, b) for a, b, _ in spans)
-    for m in _FAMILY.finditer(text):
+    for m in (_FAMILY if no_capitals else _CAPITAL).finditer(text):
         word = m.group(1)
-        if not (word[0].isupper() or no_capitals) or any(a <= m.start() < b for a, b in inside):
+        if not no_capitals:
+            if not word[0].isupper():
+                continue
+            uses[word.lower().split("-")[0]] += 1
+        if any(a <= m.start() < b for a, b in inside):
             continue
         family = word.lower().split("-")[0]
-        before = _BEFORE.search(text[max(0, m.start() - 40) : m.start()])
+        near = text[max(0, m.start() - 40) : m.start()]
+        last = near.rsplit(None, 1)[-1] if near[-1:].isspace() and near.strip() else ""
+        before = _BEFORE.search(near) if last and (no_capitals or last != last.lower()) else None
         if before:
             first, start = before.group(1), max(0, m.start() - 40) + before.start(1)
             middle = before.group(2)
@@ -141,7 +183,7 @@ def name_candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[
             good = (first[0].isupper() or no_capitals) and first.lower() not in TITLES and (not initial or first.endswith(".") or not first.isascii() or no_capitals)
             if good and not any(a < m.start() and start < b for a, b in inside):
                 out.append((start, m.end(), m.start(), "." if initial else first.lower(), family, _context(text, start), 0))
-        after = _AFTER.match(text, m.end())
+        after = _AFTER.match(text, m.end()) if text.startswith(",", m.end()) else None
         if after:
             given = re.split(r"[\s.]", after.group(1))[0]
             if (given[0].isupper() or no_capitals) and given.lower() not in TITLES:
@@ -164,9 +206,8 @@ def pieces(documents: DataFrame) -> DataFrame:
             uses: Counter = Counter()
             for doc, text in zip(f.doc_id, f.text):
                 spans = _spans(text)
-                uses.update(m.group(1).lower().split("-")[0] for m in _FAMILY.finditer(text) if m.group(1)[0].isupper())
                 rows += [(doc, kind, text[a:b], a, a, None, None, None, 0) for a, b, kind in spans]
-                rows += [(doc, "name", text[a:b], at, a, given, family, context, side) for a, b, at, given, family, context, side in name_candidates(text, spans)]
+                rows += [(doc, "name", text[a:b], at, a, given, family, context, side) for a, b, at, given, family, context, side in name_candidates(text, spans, uses)]
             rows += [(None, "word", None, n, None, None, word, None, None) for word, n in uses.items()]
             table = pd.DataFrame(rows, columns=["doc_id", *_PIECE.names])
             yield table.astype({c: "Int64" for c in ("at", "start", "side")})
@@ -238,17 +279,28 @@ def found_pieces(documents: DataFrame, given_names: DataFrame) -> DataFrame:
 
 
 def redacted(documents: DataFrame, found: DataFrame, given_names: DataFrame) -> DataFrame:
-    """(doc_id, text) with every found piece replaced by its kind in brackets; all rows of ``documents`` stay.
+    """(doc_id, text) with every found piece (doc_id, kind, found, start) replaced by its kind in brackets; all rows of ``documents`` stay.
 
-    ``given_names`` are left where they stand alone: they disclose too little. Pieces are replaced from the longest on,
-    so that one that contains another keeps its own kind. Only documents
-    with findings are joined with them; a null text stays null.
+    Pieces are replaced where they stand; of overlapping ones the first. Family names are replaced also where they stand alone as
+    whole words, and so are pieces of another delivery of the document; ``given_names`` are left there, since they
+    disclose too little. Only findings are joined with the documents; a null text stays null.
     """
-    once = found.select("doc_id", "kind", "found").distinct()
-    parts = once.where("kind = 'name'").select("doc_id", "kind", F.explode(F.split("found", r"[^\p{L}]+")).alias("found")).where("length(found) >= 4")
-    listed = given_names.select(F.lower(F.trim("given_name")).alias("given")).distinct()
-    parts = parts.join(listed, F.lower("found") == F.col("given"), "left_anti")
-    once = once.union(parts).distinct()
-    per_doc = once.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.length("found")).alias("n"), "found", "kind"))).alias("pieces"))
-    replaced = F.aggregate(F.col("pieces"), F.col("text"), lambda acc, p: F.replace(acc, p["found"], F.concat(F.lit("["), F.upper(p["kind"]), F.lit("]"))))
-    return documents.select("doc_id", "text").join(per_doc, "doc_id", "left").select("doc_id", F.when(F.col("pieces").isNull(), F.col("text")).otherwise(replaced).alias("text"))
+    pieces = found.where("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "found", "kind"))).alias("pieces"))
+    parts = found.where("kind = 'name'").select("doc_id", F.explode(F.split("found", r"[^\p{L}]+")).alias("part")).where("length(part) >= 2")
+    listed = given_names.select(F.lower(F.trim("given_name")).alias("given")).where("given is not null").distinct()
+    parts = parts.join(listed, F.lower("part") == F.col("given"), "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_set("part"), asc=False).alias("parts"))
+    joined = documents.select("doc_id", "text").join(pieces.join(parts, "doc_id", "left"), "doc_id", "left")
+
+    placeholder = lambda p: F.concat(F.lit("["), F.upper(p["kind"]), F.lit("]"))
+    stands = lambda p: F.substring(F.col("text"), p["start"] + 1, F.length(p["found"])) == p["found"]
+    rest = lambda acc: F.substring(F.col("text"), acc["at"] + 1, F.length("text"))
+
+    def put(acc, p):
+        here = F.struct(F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, p["start"] - acc["at"]), placeholder(p)).alias("done"), (p["start"] + F.length(p["found"])).cast("int").alias("at"))
+        return F.when(stands(p) & (p["start"] >= acc["at"]), here).otherwise(acc)
+
+    in_place = F.aggregate("pieces", F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), put, lambda acc: F.concat(acc["done"], rest(acc)))
+    word = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), x, F.lit(r"\E(?![\p{L}\p{N}_])"))
+    elsewhere = F.aggregate(F.filter("pieces", lambda p: ~stands(p)), in_place, lambda acc, p: F.regexp_replace(acc, word(p["found"]), placeholder(p)))
+    alone = F.aggregate(F.coalesce("parts", F.array().cast("array<string>")), elsewhere, lambda acc, x: F.regexp_replace(acc, word(x), F.lit("[NAME]")))
+    return joined.select("doc_id", F.when(F.col("pieces").isNull() | F.col("text").isNull(), F.col("text")).otherwise(alone).alias("text"))

@@ -17,7 +17,7 @@ from gavelspark.llm.pair_ranking import policy_games, ranking, strengths
 from gavelspark.llm.personal import found_pieces, redacted
 from gavelspark.llm.split_overlap import coverage_report, overlap_report, split_overlaps
 from gavelspark.llm.token_budget import token_budget
-from gavelspark.session import ship_package, spread
+from gavelspark.session import materialize, ship_package, spread
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,7 +121,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with typed placeholders in place of personal information."""
-    return redacted(_read(spark, sf_dir, "documents"), p8_found(spark, sf_dir), _read(spark, sf_dir, "given_names"))
+    names = _read(spark, sf_dir, "given_names")
+    found = materialize(found_pieces(_spread(spark, sf_dir, "documents"), names), "found")
+    return redacted(_read(spark, sf_dir, "documents"), found, names)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_probit": p2_probit, "p2_games": p2_games, "p3_found": p3_found, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_redacted": p8_redacted}

@@ -231,8 +231,8 @@ def test_found_and_redacted(spark):
     expected.add((903, "name", "Omar Lisdunby"))
     documents = spark.createDataFrame([(*d, "c") for d in docs + docs[:3]], "doc_id long, text string, kind string")
     names = spark.createDataFrame([(g,) for g in given] + [(None,), ("Omar",)], "given_name string")
-    found = P.found_pieces(documents, names).select("doc_id", "kind", "found").distinct()
-    assert {tuple(r) for r in found.collect()} == expected
+    found = P.found_pieces(documents, names)
+    assert {tuple(r) for r in found.select("doc_id", "kind", "found").collect()} == expected
     clean = {r.doc_id: r.text for r in P.redacted(documents, found, names).collect()}
     assert "[NAME] for it" in clean[0] and "[EMAIL]" in clean[0] and "Gallery" in clean[0]
     assert clean[900] is None and clean[901] == ""
@@ -241,6 +241,25 @@ def test_found_and_redacted(spark):
     assert {r.kind for r in P.found_pieces(documents, names.where("false")).collect()} <= {"email", "name"}
 
 
+def test_pieces_are_replaced_where_they_stand(spark):
+    texts = [(1, "Lisdunbyville is a town of Omar Lisdunby; Lisdunby and Omar left. Mail a@x.example, not aa@x.example"), (1, "Omar Lisdunby again"), (2, None), (None, "Omar Lisdunby")]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    found = spark.createDataFrame([(1, "name", "Omar Lisdunby", 27), (1, "email", "a@x.example", 71), (2, "name", "x", 0), (None, "name", "Omar Lisdunby", 0)], "doc_id long, kind string, found string, start int")
+    names = spark.createDataFrame([("Omar",), (None,)], "given_name string")
+    got = [r.text for r in P.redacted(documents, found, names).orderBy("doc_id", F.length("text").desc()).collect()]
+    assert got == ["Omar Lisdunby", "Lisdunbyville is a town of [NAME]; [NAME] and Omar left. Mail [EMAIL], not aa@x.example", "[NAME] again", None]
+
+
+def test_short_family_names_and_other_letters(spark):
+    rng = random.Random(9)
+    families, given = ["Li", "Kim", "Wu", "Roy", "O'Hara", "Lisdunby", "Galdunby"], ["Omar", "Lena", "Ivo", "Rosa"]
+    docs = [(d, f"The tool was checked twice. thanks to {rng.choice(given)} {families[d % 7]} for it. Every run is fine, It works.") for d in range(140)]
+    names = spark.createDataFrame([(g,) for g in given], "given_name string")
+    got = {(r.doc_id, r.found) for r in P.found_pieces(spark.createDataFrame(docs, "doc_id long, text string"), names).collect() if r.kind == "name"}
+    assert got == {(d, re.search("to (.*) for", t).group(1)) for d, t in docs}
+    assert [(P._spans(t)[0][2], t[slice(*P._spans(t)[0][:2])]) for t in ("my number AB 12 34 56 C", "passport L1234567.", "see K7654321 there")] == [("id", "AB 12 34 56 C"), ("id", "L1234567"), ("id", "K7654321")]
+
+
 def test_all_queries_run(spark, data):
     for name, query in queries().items():
         assert query(spark, data).count() >= 0, name
