@@ -5,29 +5,36 @@ least squares; the sparse normal equations of each round are solved by conjugate
 solver gives the standard errors. The link is a parameter: ``probit``, or ``logit``, under which the chance that x
 beats y is s_x / (s_x + s_y) with s = exp(strength).
 
-The comparisons are reduced to one row per pair of items before anything else, so what follows depends on the
-number of distinct pairs only. Up to ``LOCAL_PAIRS`` pairs (counted first) the rounds run on the driver, in
-numpy; beyond it every product with the normal matrix is a join and an aggregation.
+The comparisons are reduced to one row per pair of items before anything else. The pairs are a table that stays
+distributed: each product with the normal matrix is one pass over it, with sums per item that are combined before they
+move. Vectors have one number per item and are with the driver; up to ``MAX_SENT`` items they are broadcast to the pairs,
+beyond it they are joined with them. The numbers are the same either way, and there is no other path.
 """
 
 from __future__ import annotations
 
 import math
-from typing import Protocol
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.session import materialize
 
-LOCAL_PAIRS = 500_000
+#: Items up to which a vector is broadcast (8 bytes each).
+MAX_SENT = 2_000_000
+#: Pairs in a partition; the passes over few pairs are short.
+PART_ROWS = 500_000
 #: Precision of the prior of each strength, in comparisons' worth of information.
 RIDGE = 0.01
-ROUNDS, TOLERANCE = 50, 1e-10
-#: Standard errors are solved for up to so many items (one system each); beyond it the diagonal stands in.
-EXACT_ERRORS = 2_000
+#: Rounds after which a fit that has not converged is an error, and the largest step of a converged one.
+ROUNDS, TOLERANCE = 100, 1e-8
+#: Right-hand sides that are solved at once for the standard errors. With at most so many items the errors are exact; with
+#: more they are estimated from so many random probes, with a standard deviation of about sqrt(1 / (2 PROBES)) of their size.
+PROBES = 128
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
@@ -48,159 +55,127 @@ def working(eta: np.ndarray, wins: np.ndarray, n: np.ndarray, link: str) -> tupl
     return n * density * ratio, (wins - n * p) * ratio
 
 
-class _System(Protocol):
-    """Pairs with their vectors: what a round of the fit needs."""
-
-    def refresh(self, beta, link: str) -> None: ...
-    def gradient(self, beta): ...
-    def product(self, x): ...
-    def diagonal(self): ...
-
-
-def conjugate_gradients(product, rhs: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-11, rounds: int | None = None) -> np.ndarray:
-    """Solve product(x) = rhs for a positive definite product, preconditioned by its diagonal."""
+class Pairs:
+    """The pairs (i, j, wins, losses) of numbered items: gradient, diagonal and products of the normal matrix, by one pass each."""
+
+    def __init__(self, pairs: DataFrame, size: int, link: str, ridge: float, max_sent: int = MAX_SENT):
+        self.pairs, self.size, self.link, self.ridge, self.max_sent = pairs, size, link, ridge, max_sent
+
+    def _pass(self, beta: np.ndarray, vectors: np.ndarray, terms) -> np.ndarray:
+        """Sums per item of terms(weight, score, difference of the vectors), whose rows add to i and its negatives, or, for the diagonal, itself, to j."""
+        spark, link, columns = self.pairs.sparkSession, self.link, vectors.shape[1]
+        schema = "column int, item int, value double"
+        if self.size <= self.max_sent:
+            sent, table = spark.sparkContext.broadcast((beta, vectors)), self.pairs
+        else:
+            lists = pa.ListArray.from_arrays(np.arange(self.size + 1, dtype=np.int32) * columns, vectors.ravel())
+            held = spark.createDataFrame(pa.table({"item": pa.array(np.arange(self.size), pa.int32()), "b": beta, "v": lists}))
+            ends = lambda x: held.select(F.col("item").alias(x), F.col("b").alias(f"b{x}"), F.col("v").alias(f"v{x}"))
+            sent, table = None, self.pairs.join(ends("i"), "i").join(ends("j"), "j")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                i, j, wins, losses = (batch.column(c).to_numpy() for c in ("i", "j", "wins", "losses"))
+                if sent is not None:
+                    strength, v = sent.value
+                    eta, moved = strength[i] - strength[j], v[i] - v[j]
+                else:
+                    eta = batch.column("bi").to_numpy() - batch.column("bj").to_numpy()
+                    moved = np.subtract(*(batch.column(c).flatten().to_numpy().reshape(-1, columns) for c in ("vi", "vj")))
+                weight, score = working(eta, wins.astype(np.float64), (wins + losses).astype(np.float64), link)
+                at_i, at_j = terms(weight, score, moved)
+                items, where = np.unique(np.concatenate((i, j)), return_inverse=True)
+                sums = np.stack([np.bincount(where, x, len(items)) for x in np.concatenate((at_i, at_j)).T])
+                out = [np.repeat(np.arange(len(sums)), len(items)), np.tile(items, len(sums)), sums.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.float64()))], ["column", "item", "value"])
+
+        summed = table.mapInArrow(run, schema).groupBy("column", "item").agg(F.sum("value").alias("value")).toArrow()
+        out = np.zeros((self.size, max(1, columns)))
+        out[summed["item"].to_numpy(), summed["column"].to_numpy()] = summed["value"].to_numpy()
+        if sent is not None:
+            sent.unpersist()
+        return out
+
+    def start(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient of the penalised likelihood and diagonal of the normal matrix."""
+
+        def terms(weight, score, _):
+            return np.stack([score, weight], 1), np.stack([-score, weight], 1)
+
+        found = self._pass(beta, np.zeros((self.size, 2)), terms)
+        return found[:, 0] - self.ridge * beta, found[:, 1] + self.ridge
+
+    def product(self, beta: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        def terms(weight, _, moved):
+            return weight[:, None] * moved, -weight[:, None] * moved
+
+        return self._pass(beta, vectors, terms) + self.ridge * vectors
+
+
+def conjugate_gradients(product, rhs: np.ndarray, diagonal: np.ndarray, tolerance: float) -> np.ndarray:
+    """Solve product(x) = rhs, column by column at once, for a positive definite product, preconditioned by its diagonal.
+
+    An error if the residual of some column stays above ``tolerance`` times its right-hand side."""
     x, r = np.zeros_like(rhs), rhs.copy()
-    z = r / diagonal
-    p, rz = z.copy(), float(r @ z)
-    goal = tolerance * max(1e-300, float(np.abs(rhs).max(initial=0.0)))
-    for _ in range(rounds or 10 * len(rhs) + 50):
-        if np.abs(r).max(initial=0.0) <= goal:
-            break
+    z = r / diagonal[:, None]
+    p, rz = z.copy(), (r * z).sum(axis=0)
+    goal = np.maximum(tolerance * np.abs(rhs).max(axis=0, initial=0.0), 1e-300)
+    for _ in range(10 * len(rhs) + 50):
+        live = np.abs(r).max(axis=0, initial=0.0) > goal
+        if not live.any():
+            return x
         q = product(p)
-        step = rz / float(p @ q)
+        step = np.where(live, rz / np.where(live, (p * q).sum(axis=0), 1.0), 0.0)
         x += step * p
         r -= step * q
-        z = r / diagonal
-        rz, before = float(r @ z), rz
-        p = z + (rz / before) * p
-    return x
-
-
-class LocalSystem:
-    def __init__(self, i: np.ndarray, j: np.ndarray, wins: np.ndarray, losses: np.ndarray, size: int, ridge: float):
-        self.i, self.j, self.wins, self.n, self.size, self.ridge = i, j, wins, wins + losses, size, ridge
-
-    def refresh(self, beta: np.ndarray, link: str) -> None:
-        self.weight, self.score = working(beta[self.i] - beta[self.j], self.wins, self.n, link)
-
-    def _scatter(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.i, values, self.size) - np.bincount(self.j, values, self.size)
+        z = r / diagonal[:, None]
+        rz, before = (r * z).sum(axis=0), rz
+        p = z + np.where(live, rz / np.where(before > 0, before, 1.0), 0.0) * p
+    raise RuntimeError("conjugate gradients did not converge")
 
-    def gradient(self, beta: np.ndarray) -> np.ndarray:
-        return self._scatter(self.score) - self.ridge * beta
 
-    def product(self, x: np.ndarray) -> np.ndarray:
-        return self._scatter(self.weight * (x[self.i] - x[self.j])) + self.ridge * x
-
-    def diagonal(self) -> np.ndarray:
-        return np.bincount(self.i, self.weight, self.size) + np.bincount(self.j, self.weight, self.size) + self.ridge
-
-
-def fit_local(pairs: pd.DataFrame, link: str, ridge: float) -> pd.DataFrame:
-    items = np.array(sorted(set(pairs.x) | set(pairs.y)), object)
-    at = {item: k for k, item in enumerate(items)}
-    i, j = pairs.x.map(at).to_numpy(np.int64), pairs.y.map(at).to_numpy(np.int64)
-    system = LocalSystem(i, j, pairs.wins.to_numpy(np.float64), pairs.losses.to_numpy(np.float64), len(items), ridge)
-    beta = np.zeros(len(items))
+def fit(system, size: int, errors: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Strengths and (NaN without ``errors``) standard errors of the strengths less their mean; the mean itself is fixed by the prior only."""
+    beta = np.zeros(size)
     for _ in range(ROUNDS):
-        system.refresh(beta, link)
-        step = conjugate_gradients(system.product, system.gradient(beta), system.diagonal())
-        beta = beta + step * min(1.0, 4.0 / max(1e-300, np.abs(step).max(initial=0.0)))
-        if np.abs(step).max(initial=0.0) < TOLERANCE:
+        gradient, diagonal = system.start(beta)
+        # the nearer the goal, the more exact the step
+        exact = min(0.1, max(1e-3, float(np.abs(gradient / diagonal).max(initial=0.0))))
+        step = conjugate_gradients(lambda v: system.product(beta, v), gradient[:, None], diagonal, exact)[:, 0]
+        largest = float(np.abs(step).max(initial=0.0))
+        beta = beta + step * min(1.0, 4.0 / max(1e-300, largest))
+        if largest < TOLERANCE:
             break
-    system.refresh(beta, link)
-    diagonal = system.diagonal()
-    if len(items) <= EXACT_ERRORS:
-        # of the strengths less their mean: the mean itself is fixed by the prior only
-        units = np.eye(len(items)) - 1.0 / max(1, len(items))
-        errors = np.sqrt([conjugate_gradients(system.product, units[k], diagonal)[k] for k in range(len(items))])
     else:
-        errors = 1 / np.sqrt(diagonal)
-    games = np.bincount(i, system.n, len(items)) + np.bincount(j, system.n, len(items))
-    return pd.DataFrame({"item": items, "strength": beta, "std_error": errors, "comparisons": games.astype(np.int64)})
-
-
-class SparkSystem:
-    """The same system as tables: pairs (x, y, wins, losses) and vectors (item, value columns)."""
-
-    def __init__(self, pairs: DataFrame, ridge: float):
-        self.pairs, self.ridge = pairs, ridge
-
-    def refresh(self, beta: DataFrame, link: str) -> None:
-        self.weighted = materialize(self._both(beta).mapInPandas(_worker(link), "x string, y string, weight double, score double"), "weights")
-
-    def _both(self, vector: DataFrame) -> DataFrame:
-        ends = lambda c: vector.select(F.col("item").alias(c), F.col("value").alias(f"v{c}"))
-        return self.pairs.join(ends("x"), "x").join(ends("y"), "y")
-
-    def _scatter(self, df: DataFrame, value, vector: DataFrame, ridge: float) -> DataFrame:
-        signed = df.select(F.col("x").alias("item"), value.alias("s")).union(df.select(F.col("y"), -value))
-        summed = signed.groupBy("item").agg(F.sum("s").alias("s"))
-        return vector.join(summed, "item", "left").select("item", (F.coalesce("s", F.lit(0.0)) + ridge * F.col("value")).alias("value"))
-
-    def gradient(self, beta: DataFrame) -> DataFrame:
-        return self._scatter(self.weighted, F.col("score"), beta, -self.ridge)
-
-    def product(self, vector: DataFrame) -> DataFrame:
-        ends = lambda c: vector.select(F.col("item").alias(c), F.col("value").alias(f"v{c}"))
-        joined = self.weighted.join(ends("x"), "x").join(ends("y"), "y")
-        return self._scatter(joined, F.col("weight") * (F.col("vx") - F.col("vy")), vector, self.ridge)
-
-    def diagonal(self) -> DataFrame:
-        both = self.weighted.select(F.col("x").alias("item"), "weight").union(self.weighted.select("y", "weight"))
-        return both.groupBy("item").agg((F.sum("weight") + self.ridge).alias("value"))
-
-
-def _worker(link: str):
-    def run(frames):
-        for f in frames:
-            weight, score = working((f.vx - f.vy).to_numpy(), f.wins.to_numpy(np.float64), (f.wins + f.losses).to_numpy(np.float64), link)
-            yield pd.DataFrame({"x": f.x, "y": f.y, "weight": weight, "score": score})
-
-    return run
-
-
-def fit_distributed(pairs: DataFrame, link: str, ridge: float, rounds: int = ROUNDS, inner: int = 200, tolerance: float = 1e-9) -> DataFrame:
-    """As ``fit_local``, with tables for vectors; standard errors by the diagonal of the normal matrix."""
-    system = SparkSystem(pairs, ridge)
-    items = pairs.select(F.explode(F.array("x", "y")).alias("item")).distinct()
-    beta = materialize(items.withColumn("value", F.lit(0.0)), "beta")
-    for _ in range(rounds):
-        system.refresh(beta, link)
-        diagonal = materialize(system.diagonal().withColumnRenamed("value", "d"), "diagonal")
-        state = materialize(system.gradient(beta).withColumnRenamed("value", "r").join(diagonal, "item").select("item", F.lit(0.0).alias("s"), "r", (F.col("r") / F.col("d")).alias("p"), "d"), "state")
-        rz, goal = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.max(F.abs("r"))).first()
-        for _ in range(inner):
-            q = system.product(state.select("item", F.col("p").alias("value"))).withColumnRenamed("value", "q")
-            both = materialize(state.join(q, "item"), "both")
-            pq = both.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-            if not pq:
-                break
-            a = rz / pq
-            moved = materialize(both.select("item", (F.col("s") + a * F.col("p")).alias("s"), (F.col("r") - a * F.col("q")).alias("r"), "p", "d"), "moved")
-            new, worst = moved.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.max(F.abs("r"))).first()
-            state = moved.withColumn("p", F.col("r") / F.col("d") + (new / rz) * F.col("p"))
-            rz = new
-            if worst <= 1e-9 * goal:
-                break
-        largest = state.agg(F.max(F.abs("s"))).first()[0] or 0.0
-        scale = min(1.0, 4.0 / max(1e-300, largest))
-        beta = materialize(beta.join(state.select("item", "s"), "item").select("item", (F.col("value") + scale * F.col("s")).alias("value")), "beta")
-        if largest < tolerance:
-            break
-    system.refresh(beta, link)
-    games = pairs.select(F.col("x").alias("item"), (F.col("wins") + F.col("losses")).alias("n")).union(pairs.select("y", F.col("wins") + F.col("losses"))).groupBy("item").agg(F.sum("n").cast("long").alias("comparisons"))
-    errors = system.diagonal().select("item", (1 / F.sqrt("value")).alias("std_error"))
-    return beta.withColumnRenamed("value", "strength").join(errors, "item").join(games, "item").select("item", "strength", "std_error", "comparisons")
-
-
-def strengths(pairs: DataFrame, link: str = "logit", ridge: float = RIDGE, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
-    """(item, strength, std_error, comparisons) from pairs (x, y, wins of x, losses of x), one row per pair."""
+        raise RuntimeError("the strengths did not converge")
+    if not errors:
+        return beta, np.full(size, np.nan)
+    _, diagonal = system.start(beta)
+    if size <= PROBES:
+        units = np.eye(size) - 1.0 / max(1, size)
+        return beta, np.sqrt(np.maximum(0.0, np.diagonal(conjugate_gradients(lambda v: system.product(beta, v), units, diagonal, 1e-6))))
+    signs = np.random.default_rng(0).choice([-1.0, 1.0], (size, PROBES))
+    solved = conjugate_gradients(lambda v: system.product(beta, v), signs - signs.mean(axis=0), diagonal, 1e-4)
+    return beta, np.sqrt(np.maximum(0.0, (signs * solved).mean(axis=1)))
+
+
+def strengths(pairs: DataFrame, link: str = "probit", ridge: float = RIDGE, errors: bool = True, max_sent: int = MAX_SENT) -> DataFrame:
+    """(item, strength, std_error, comparisons) from pairs (x, y, wins of x, losses of x), one row per pair; std_error is NaN without ``errors``.
+
+    Items are compared as strings. Without pairs there are no rows. A fit that does not converge is an error.
+    """
+    spark = pairs.sparkSession
     kept = materialize(pairs.select(F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y"), "wins", "losses"), "games")
-    if kept.limit(local_pairs + 1).count() > local_pairs:
-        return fit_distributed(kept, link, ridge)
-    found = fit_local(kept.toPandas(), link, ridge)
-    return kept.sparkSession.createDataFrame(found, "item string, strength double, std_error double, comparisons long")
+    games = lambda c: kept.select(F.col(c).alias("item"), (F.col("wins") + F.col("losses")).alias("n"))
+    items = games("x").union(games("y")).groupBy("item").agg(F.sum("n").cast("long").alias("comparisons")).orderBy("item").toPandas()
+    items["number"] = np.arange(len(items), dtype=np.int32)
+    numbers = spark.createDataFrame(items[["item", "number"]], "item string, number int")
+    ends = lambda x, to: numbers.select(F.col("item").alias(x), F.col("number").alias(to))
+    numbered = materialize(kept.join(ends("x", "i"), "x").join(ends("y", "j"), "y").select("i", "j", "wins", "losses"), "numbered")
+    parts = numbered.count() // PART_ROWS + 1
+    beta, errors = fit(Pairs(numbered.coalesce(parts), len(items), link, ridge, max_sent), len(items), errors)
+    found = pd.DataFrame({"item": items["item"], "strength": beta, "std_error": errors, "comparisons": items["comparisons"]})
+    return spark.createDataFrame(found, "item string, strength double, std_error double, comparisons long")
 
 
 def policy_games(records: DataFrame, owners: DataFrame) -> DataFrame:

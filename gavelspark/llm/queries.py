@@ -61,14 +61,14 @@ def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage_report(split_overlaps(lists, _read(spark, sf_dir, "language_names")), lists)
 
 
-def _ranking(spark: SparkSession, sf_dir: str, link: str) -> DataFrame:
+def _ranking(spark: SparkSession, sf_dir: str, link: str, errors: bool = True) -> DataFrame:
     games = policy_games(_read(spark, sf_dir, "ranking_consistency"), _read(spark, sf_dir, "candidate_policies"))
-    return ranking(strengths(games, link), _read(spark, sf_dir, "policies"))
+    return ranking(strengths(games, link, errors=errors), _read(spark, sf_dir, "policies"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of all policies; the chance of a win is s_x / (s_x + s_y), hence the logit link."""
-    return _ranking(spark, sf_dir, "logit").select("place", "policy")
+    """Places of all policies by their probit strengths."""
+    return _ranking(spark, sf_dir, "probit", errors=False).select("place", "policy")
 
 
 def p2_probit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,11 @@ def p2_probit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranking(spark, sf_dir, "probit")
 
 
+def p2_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under the logit link, by which the chance of a win is s_x / (s_x + s_y)."""
+    return _ranking(spark, sf_dir, "logit")
+
+
 def p2_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wins and losses of each pair of policies: what the fit sees."""
     return policy_games(_read(spark, sf_dir, "ranking_consistency"), _read(spark, sf_dir, "candidate_policies"))
@@ -126,7 +131,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted(_read(spark, sf_dir, "documents"), found, names)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_probit": p2_probit, "p2_games": p2_games, "p3_found": p3_found, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_probit": p2_probit, "p2_logit": p2_logit, "p2_games": p2_games, "p3_found": p3_found, "p4_token_budget": p4_token_budget, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

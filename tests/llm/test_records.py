@@ -29,10 +29,33 @@ def games(seed=1, items=7):
     return true, rows
 
 
+class LocalPairs:
+    """The normal matrix written out."""
+
+    def __init__(self, rows, link, ridge):
+        self.items = sorted({r[0] for r in rows} | {r[1] for r in rows})
+        self.design = np.zeros((len(rows), len(self.items)))
+        for k, (x, y, _, _) in enumerate(rows):
+            self.design[k, self.items.index(x)], self.design[k, self.items.index(y)] = 1, -1
+        self.wins, self.n = np.array([float(r[2]) for r in rows]), np.array([float(r[2] + r[3]) for r in rows])
+        self.link, self.ridge = link, ridge
+
+    def matrix(self, beta):
+        weight, score = R.working(self.design @ beta, self.wins, self.n, self.link)
+        return self.design.T @ (weight[:, None] * self.design) + self.ridge * np.eye(len(self.items)), self.design.T @ score
+
+    def start(self, beta):
+        matrix, score = self.matrix(beta)
+        return score - self.ridge * beta, np.diag(matrix)
+
+    def product(self, beta, vectors):
+        return self.matrix(beta)[0] @ vectors
+
+
 @pytest.mark.parametrize("link", ["logit", "probit"])
-def test_fit_solves_the_score_equations(link):
+def test_fit_solves_the_score_equations(spark, link):
     true, rows = games()
-    found = R.fit_local(pd.DataFrame(rows, columns=["x", "y", "wins", "losses"]), link, R.RIDGE)
+    found = R.strengths(spark.createDataFrame(rows, "x string, y string, wins long, losses long"), link).toPandas()
     beta = dict(zip(found["item"], found["strength"]))
     gradient = {k: -R.RIDGE * b for k, b in beta.items()}
     for x, y, w, l in rows:
@@ -46,30 +69,31 @@ def test_fit_solves_the_score_equations(link):
         gradient[y] -= s
     assert max(map(abs, gradient.values())) < 1e-4
     assert sorted(beta, key=beta.get) == sorted(true, key=true.get)
-    assert (found["std_error"] > 0).all() and (found["std_error"] < 1.0).all()
-
-
-def test_standard_errors_equal_the_inverse():
-    _, rows = games(2, 4)
-    pairs = pd.DataFrame(rows, columns=["x", "y", "wins", "losses"])
-    found = R.fit_local(pairs, "logit", 0.5).set_index("item")
-    items = list(found.index)
-    h = np.eye(len(items)) * 0.5
-    for x, y, w, l in rows:
-        p = 1 / (1 + math.exp(found.strength[y] - found.strength[x]))
-        v = np.zeros(len(items))
-        v[items.index(x)], v[items.index(y)] = 1, -1
-        h += (w + l) * p * (1 - p) * np.outer(v, v)
-    centre = np.eye(len(items)) - 1 / len(items)
-    assert found["std_error"].to_numpy() == pytest.approx(np.sqrt(np.diag(centre @ np.linalg.inv(h) @ centre)), rel=1e-6)
-
-
-def test_distributed_fit_equals_local(spark):
+    local, errors = R.fit(LocalPairs(rows, link, R.RIDGE), len(found))
+    assert found.sort_values("item")["strength"].to_numpy() == pytest.approx(local, abs=1e-7)
+    assert found.sort_values("item")["std_error"].to_numpy() == pytest.approx(errors, rel=1e-6)
+
+
+def test_standard_errors_equal_the_inverse_and_their_estimate():
+    _, rows = games(2, 9)
+    system = LocalPairs(rows, "probit", 0.5)
+    size = len(system.items)
+    beta, errors = R.fit(system, size)
+    centre = np.eye(size) - 1 / size
+    inverse = centre @ np.linalg.inv(system.matrix(beta)[0]) @ centre
+    assert errors == pytest.approx(np.sqrt(np.diag(inverse)), rel=1e-6)
+    _, rows = games(4, R.PROBES + 30)
+    system = LocalPairs(rows[:3000], "probit", 0.5)
+    beta, errors = R.fit(system, len(system.items))
+    exact = np.sqrt(np.diag((c := np.eye(len(beta)) - 1 / len(beta)) @ np.linalg.inv(system.matrix(beta)[0]) @ c))
+    assert abs(np.mean(errors / exact) - 1) < 0.05 and np.std(errors / exact) < 0.25
+
+
+def test_joined_vectors_give_the_same(spark):
     _, rows = games(3, 4)
     df = spark.createDataFrame(rows, "x string, y string, wins long, losses long")
-    local = {r["item"]: r.strength for r in R.strengths(df).collect()}
-    spread = {r["item"]: r.strength for r in R.fit_distributed(df, "logit", R.RIDGE, rounds=6, inner=6, tolerance=1e-6).collect()}
-    assert spread == pytest.approx(local, abs=1e-4)
+    sent, joined = ({r["item"]: (r.strength, r.std_error) for r in R.strengths(df, "logit", max_sent=m).collect()} for m in (R.MAX_SENT, 0))
+    assert all(joined[k] == pytest.approx(v, abs=1e-9) for k, v in sent.items()) and len(joined) == 4
 
 
 def test_policy_games(spark):
