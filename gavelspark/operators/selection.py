@@ -13,7 +13,7 @@ from gavelspark.functions import text as X
 
 def test_pass_count(executions: DataFrame) -> DataFrame:
     """(prob_id, cand, passed, total): a test is passed if it returned 0 and its output matches."""
-    passed = (F.col("rc") == 0) & X.outputs_match_native(F.col("stdout"), F.col("expected"))
+    passed = (F.col("rc") == 0) & X.outputs_match(F.col("stdout"), F.col("expected"))
     return executions.groupBy("prob_id", "cand").agg(F.count_if(passed).alias("passed"), F.count("*").alias("total"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavelspark.functions import text as X
+
 
 def majority(answers: DataFrame) -> DataFrame:
     """(list_id, answer, k_total): the most frequent answer, null counting as one; of equal counts the one seen first."""
@@ -32,7 +34,7 @@ def vote_distribution(answers: DataFrame, sizes: DataFrame) -> DataFrame:
     ``sizes`` is (list_id, n). Answers are stripped and upper-cased; others than the first n letters are no votes;
     lists without a vote have null prediction and confidence.
     """
-    said = F.upper(F.trim("answer"))
+    said = F.upper(X.strip(F.col("answer")))
     votes = sizes.join(answers.select("list_id", said.alias("opt")), "list_id", "left")
     valid = F.regexp_like("opt", F.lit("^[A-H]$")) & (F.ascii("opt") - 65 < F.col("n"))
     per_option = votes.groupBy("list_id", "n", F.when(valid, F.col("opt")).alias("opt")).agg(F.count("*").alias("votes"))

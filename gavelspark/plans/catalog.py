@@ -15,9 +15,9 @@ from gavelspark.operators import calibration as C
 from gavelspark.operators import ranking as K
 from gavelspark.operators import selection as S
 from gavelspark.operators import votes as V
-from gavelspark.session import shared_dir, ship_package
+from gavelspark.session import materialize, shared_dir, ship_package
 from gavelspark.sources import readers, sinks
-from gavelspark.sources.fixtures import PRELUDE, Frames
+from gavelspark.sources.fixtures import PRELUDE, SAME, Frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,10 +94,12 @@ def fmt_metrics(f):
     return f.lists.select("list_id", sinks.fmt_percent(first).alias("percent"), sinks.fmt_decimals(first).alias("decimals"))
 
 
-@query("SELECT eval_llm, arg_min(path, row_no) AS path FROM (SELECT source AS eval_llm, doc_id AS row_no, concat('out/', CAST(doc_id AS VARCHAR)) AS path FROM documents WHERE lang = 'en' AND source IS NOT NULL) z GROUP BY eval_llm")
+@query("SELECT source AS eval_llm, lang AS data, arg_min(concat('out/', CAST(doc_id AS VARCHAR)), doc_id) AS path FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars > 300 GROUP BY ALL")
 def cache_lookup(f):
-    rows = f.table("documents").where("lang = 'en' and source is not null").select(_col("source").alias("eval_llm"), _col("doc_id").alias("row_no"), F.concat(F.lit("out/"), _col("doc_id").cast("string")).alias("path"))
-    return rows.groupBy("eval_llm").agg(F.min_by("path", "row_no").alias("path"))
+    path = F.concat(F.lit("out/"), _col("doc_id").cast("string")).alias("path")
+    rows = f.table("documents").select(_col("source").alias("eval_llm"), _col("lang").alias("data"), _col("doc_id").alias("row_no"), path)
+    # the files that are there: those of the longer documents
+    return readers.cache_lookup(rows, f.table("documents").where("n_chars > 300").select(path))
 
 
 def _echo(prompts: list[str], n: int) -> list[list[str]]:
@@ -222,11 +224,12 @@ def truncate_at_boxed(f):
     return f.comp.select("list_id", "k", X.truncate_at_boxed(_col("text")).alias("cut"))
 
 
-@query()
+@query("""SELECT list_id, CASE WHEN len(cuts) > 0 THEN cuts[CAST(h % len(cuts) AS INT) + 1] ELSE concat(coalesce(texts[CAST(h % len(texts) AS INT) + 1], 'None'), chr(92), 'boxed{') END AS picked
+FROM (SELECT list_id, list_id * 7919 % 104729 AS h, list(text ORDER BY k) AS texts, list(substr(text, 1, strpos(text, chr(92) || 'boxed{') + 6) ORDER BY k) FILTER (strpos(text, chr(92) || 'boxed{') > 0) AS cuts FROM comp GROUP BY list_id) z""")
 def pick_continuation(f):
     texts = F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"])
     per = f.comp.groupBy("list_id").agg(texts.alias("texts"))
-    return per.select("list_id", P.pick_continuation(_col("texts"), F.xxhash64("list_id")).alias("picked"))
+    return per.select("list_id", P.pick_continuation(_col("texts"), _col("list_id") * 7919 % 104729).alias("picked"))
 
 
 @query("SELECT pair_id, CAST(2 AS INT) AS messages, 'assistant' AS role1, concat('<think>', chr(10), chosen) AS content1 FROM thinkdpo_training")
@@ -274,9 +277,9 @@ def post_think(f):
     return f.comp.select("list_id", "k", X.post_think(_col("text")).alias("tail"))
 
 
-@query("SELECT list_id, coalesce(trim(regexp_replace(candidates[1], '<[^>]+>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '') AS plain FROM lists")
+@query("SELECT list_id, pos, coalesce(trim(regexp_replace(code, '<[^>]+>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '') AS plain FROM cand")
 def strip_html(f):
-    return f.lists.select("list_id", X.strip_html(F.get("candidates", F.lit(0))).alias("plain"))
+    return f.cand.select("list_id", "pos", X.strip_html(_col("code")).alias("plain"))
 
 
 @query()
@@ -313,7 +316,7 @@ def normalize_output(f):
     return f.executions.select("prob_id", "cand", "tc_id", X.normalize_output(_col("stdout")).alias("clean"))
 
 
-@query("SELECT prob_id, cand, tc_id, rtrim(stdout, ' ' || chr(10)) = expected OR (tc_id = 2 AND stdout LIKE '{%') AS same FROM executions")
+@query(f"SELECT prob_id, cand, tc_id, {SAME} AS same FROM executions")
 def outputs_match(f):
     return f.executions.select("prob_id", "cand", "tc_id", X.outputs_match(_col("stdout"), _col("expected")).alias("same"))
 
@@ -617,12 +620,19 @@ def unify_metrics(f):
 
 @query("SELECT list_id, CAST(row_number() OVER (ORDER BY list_id) AS INT) AS place FROM lists")
 def sort_by_prompt_id(f):
-    # a total order without one task for all rows: range partitions of a fixed number, numbered from their counts
+    return _numbered(f).select("list_id", "place")
+
+
+def _numbered(f) -> DataFrame:
+    """(list_id, place, total) in total order without one task for all rows: range partitions, written once, numbered from
+    their counts (one row per partition)."""
     parts = int(f.spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = f.lists.select("list_id").repartitionByRange(parts, "list_id").withColumn("part", F.spark_partition_id())
-    before = ordered.groupBy("part").agg(F.count("*").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ordered = materialize(ordered, "ordered")
+    sums = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ordered.groupBy("part").agg(F.count("*").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(sums), F.lit(0))).withColumn("total", F.sum("rows").over(Window.partitionBy()))
     numbered = ordered.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy("list_id")))
-    return numbered.join(F.broadcast(before), "part").select("list_id", (_col("rn") + _col("before")).cast("int").alias("place"))
+    return numbered.join(F.broadcast(counts), "part").select("list_id", (_col("rn") + _col("before")).cast("int").alias("place"), "total")
 
 
 @query("SELECT list_id, pos, CAST(row_number() OVER (PARTITION BY list_id ORDER BY pass_rate DESC NULLS LAST, pos) AS INT) AS place FROM cand")
@@ -636,9 +646,9 @@ def limit_head(f):
     return f.sizes.orderBy("list_id").limit(100)
 
 
-@query()
+@query("SELECT pair_id, md5(concat(CAST(pair_id AS VARCHAR), ':42')) AS key FROM thinkdpo_training")
 def shuffle_seeded(f):
-    return f.table("thinkdpo_training").select("pair_id", F.xxhash64("pair_id", F.lit(42)).alias("key")).orderBy("key", "pair_id")
+    return f.table("thinkdpo_training").select("pair_id", F.md5(F.concat(_col("pair_id").cast("string"), F.lit(":42"))).alias("key")).orderBy("key", "pair_id")
 
 
 @query("SELECT a.list_id, a.pos AS i, b.pos AS j, a.code AS code_i, b.code AS code_j FROM cand a JOIN cand b ON a.list_id = b.list_id AND a.pos < b.pos WHERE a.n >= 3")
@@ -659,9 +669,7 @@ def random_selection(f):
 
 @query("SELECT list_id, CAST(ntile(8) OVER (ORDER BY list_id) AS INT) AS block FROM lists")
 def block_partition(f):
-    ranks = sort_by_prompt_id(f)
-    size, extra = divmod(f.sizes.count(), 8)
-    at = _col("place") - 1
+    size, extra, at = F.floor(_col("total") / 8), _col("total") % 8, _col("place") - 1
     wide = extra * (size + 1)
-    block = F.when(at < wide, F.floor(at / (size + 1))).otherwise(extra + F.floor((at - wide) / max(size, 1)))
-    return ranks.select("list_id", (block + 1).cast("int").alias("block"))
+    block = F.when(at < wide, F.floor(at / (size + 1))).otherwise(extra + F.floor((at - wide) / F.greatest(size, F.lit(1))))
+    return _numbered(f).select("list_id", (block + 1).cast("int").alias("block"))

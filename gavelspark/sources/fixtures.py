@@ -16,7 +16,7 @@ _TEXT = """CASE
   WHEN h = 0 THEN concat('<think>', chr(10), 'x', chr(10), '</think> no verdict')
   WHEN h = 1 THEN concat('<think>x</think>', chr(92), 'boxed{Z}')
   WHEN h = 2 THEN concat('<think>x', chr(92), 'boxed{', truth, '}')
-  WHEN h = 3 THEN concat('<think>x</think>', chr(92), 'boxed{ ', lower(truth), ' }')
+  WHEN h = 3 THEN concat('<think>x</think>', chr(92), 'boxed{', chr(9), lower(truth), ' }')
   WHEN h = 4 THEN concat('<think>a<think>b</think>', chr(92), 'boxed{', truth, '}')
   WHEN h = 5 THEN concat('<think>x</think>', chr(92), 'boxed{[[', truth, ']]}')
   WHEN h = 6 THEN CAST(NULL AS VARCHAR(9))
@@ -30,8 +30,12 @@ _SCORE_TEXT = """CASE
   WHEN h = 4 THEN concat('<think>x</think>', chr(92), 'boxed{[', digits, ',]}')
   WHEN h = 5 THEN concat('<think>x</think>', chr(92), 'boxed{[', digits, ', 3.5]}')
   ELSE concat('<think>x</think>', chr(10), chr(92), 'boxed{[', digits, ']}') END"""
-_STDOUT = """CASE WHEN good AND tc_id = 1 THEN concat('v', CAST(tc_id AS VARCHAR(9)), '  ', chr(10)) WHEN good AND tc_id = 2 THEN '{"b": 2, "a": 1}' WHEN good THEN concat('v', CAST(tc_id AS VARCHAR(9))) ELSE 'wrong' END"""
-_EXPECTED = """CASE WHEN tc_id = 2 THEN '{"a":1,"b":2}' ELSE concat('v', CAST(tc_id AS VARCHAR(9))) END"""
+_STDOUT = """CASE WHEN good AND tc_id = 1 THEN concat('v', CAST(tc_id AS VARCHAR(9)), '  ', chr(10)) WHEN good AND tc_id = 2 THEN '{"b": 2, "a": 1}' WHEN good AND tc_id = 3 THEN '1e2' WHEN tc_id = 2 THEN '{"a": 1, "b": 3}' WHEN good THEN concat('v', CAST(tc_id AS VARCHAR(9))) ELSE 'wrong' END"""
+_EXPECTED = """CASE WHEN tc_id = 2 THEN '{"a":1,"b":2}' WHEN tc_id = 3 THEN '100' ELSE concat('v', CAST(tc_id AS VARCHAR(9))) END"""
+
+#: Outputs are equal as text, as numbers, or as JSON objects with whole numbers.
+SAME = """(rtrim(stdout, ' ' || chr(10)) = expected OR coalesce(TRY_CAST(stdout AS DOUBLE) = TRY_CAST(expected AS DOUBLE), false)
+  OR (starts_with(stdout, '{') AND starts_with(expected, '{') AND list_sort(map_entries(CAST(CAST(CASE WHEN starts_with(stdout, '{') THEN stdout ELSE '{}' END AS JSON) AS MAP(VARCHAR, BIGINT)))) = list_sort(map_entries(CAST(CAST(CASE WHEN starts_with(expected, '{') THEN expected ELSE '{}' END AS JSON) AS MAP(VARCHAR, BIGINT))))))"""
 
 PRELUDE = f"""WITH lists AS (
   SELECT list_id, split, source, domain, query, language, candidates, num_candidates AS n, chosen_answer, chosen_position, pass_rates
@@ -46,11 +50,11 @@ verdicts AS (SELECT list_id, i, j, CASE WHEN winner = i OR winner = j THEN winne
 prefs AS (SELECT DISTINCT list_id, winner, CASE WHEN winner = i THEN j ELSE i END AS loser FROM verdicts WHERE winner IS NOT NULL),
 wins AS (SELECT c.list_id, c.pos, c.pass_rate, c.n, coalesce(w.wins, 0) AS wins FROM cand c LEFT JOIN (SELECT list_id, winner AS pos, count(*) AS wins FROM prefs GROUP BY ALL) w ON c.list_id = w.list_id AND c.pos = w.pos WHERE c.list_id IN (SELECT list_id FROM prefs)),
 executions AS (SELECT prob_id, cand, tc_id, {_STDOUT} AS stdout, {_EXPECTED} AS expected, CAST(CASE WHEN NOT good AND (prob_id + tc_id) % 7 = 0 THEN 1 ELSE 0 END AS INT) AS rc FROM (SELECT list_id AS prob_id, pos AS cand, k AS tc_id, k < coalesce(pass_rate, 0)*4 AS good FROM cand CROSS JOIN (SELECT k FROM ks WHERE k < 4) t) z),
-counts AS (SELECT prob_id, cand, count(*) FILTER (rc = 0 AND (rtrim(stdout, ' ' || chr(10)) = expected OR (tc_id = 2 AND stdout LIKE '{{%'))) AS passed, count(*) AS total FROM executions GROUP BY ALL),
+counts AS (SELECT prob_id, cand, count(*) FILTER (rc = 0 AND {SAME}) AS passed, count(*) AS total FROM executions GROUP BY ALL),
 answers AS (SELECT list_id, k, n, chosen_answer, CASE WHEN regexp_matches(text, '\\\\boxed\\{{(.*?)\\}}') THEN CASE WHEN contains(regexp_extract(text, '\\\\boxed\\{{(.*?)\\}}', 1), '[[') THEN regexp_extract(text, '\\[\\[(.*?)\\]\\]', 1) ELSE regexp_extract(text, '\\\\boxed\\{{(.*?)\\}}', 1) END END AS answer FROM comp),
-logprobs AS (SELECT l.list_id, o.token_id, -CAST((l.list_id*7 + o.token_id*13) % 50 AS DOUBLE) / CAST(7 AS DOUBLE) AS logprob, o.opt FROM lists l CROSS JOIN (SELECT k*10 + s AS token_id, chr(CAST(65 + k AS INT)) AS opt FROM ks CROSS JOIN (SELECT 0 AS s UNION ALL SELECT 1 AS s) s) o WHERE (l.list_id + o.token_id) % 5 <> 0 AND l.list_id % 11 <> 0),
+logprobs AS (SELECT l.list_id, o.token_id, -CAST((l.list_id*7 + o.token_id*13) % 50 AS DOUBLE) / CAST(7 AS DOUBLE) AS logprob, o.opt FROM lists l CROSS JOIN (SELECT k*10 + s AS token_id, chr(CAST(65 + k AS INT)) AS opt FROM ks CROSS JOIN (SELECT 0 AS s UNION ALL SELECT 1 AS s) s) o WHERE (l.list_id + o.token_id) % 5 <> 0),
 softmax AS (SELECT list_id, opt, round(e / sum(e) OVER (PARTITION BY list_id), 9) AS p FROM (SELECT list_id, opt, exp(lp - max(lp) OVER (PARTITION BY list_id)) AS e FROM (SELECT o.list_id, o.opt, coalesce(max(p.logprob), min(max(p.logprob)) OVER (PARTITION BY o.list_id) - 20) AS lp FROM (SELECT list_id, chr(CAST(65 + pos AS INT)) AS opt FROM cand) o LEFT JOIN logprobs p ON p.list_id = o.list_id AND p.opt = o.opt GROUP BY o.list_id, o.opt) r) e),
-said AS (SELECT list_id, n, upper(trim(answer)) AS opt FROM answers),
+said AS (SELECT list_id, n, upper(trim(answer, ' ' || chr(9) || chr(10) || chr(13))) AS opt FROM answers),
 votes AS (SELECT list_id, opt, count(*) AS votes FROM said WHERE length(opt) = 1 AND opt >= 'A' AND ascii(opt) - 65 < n GROUP BY ALL),
 voted AS (SELECT list_id, CAST(sum(votes) AS BIGINT) AS n_votes, arg_min(opt, (-votes, opt)) AS predicted, round(CAST(max(votes) AS DOUBLE) / sum(votes), 9) AS conf FROM votes GROUP BY list_id),
 records AS (SELECT l.list_id, v.n_votes, v.predicted, v.conf, CAST(CASE WHEN v.conf IS NOT NULL THEN coalesce(CAST(v.predicted = l.chosen_answer AS INT), 0) END AS INT) AS is_correct FROM lists l LEFT JOIN voted v ON l.list_id = v.list_id),
@@ -139,7 +143,7 @@ class Frames:
     @cached_property
     def logprobs(self) -> DataFrame:
         ids = F.array(*[F.lit(k * 10 + s) for k in range(8) for s in (0, 1)])
-        row = self.lists.where("list_id % 11 <> 0").select("list_id", F.explode(ids).alias("token_id"))
+        row = self.lists.select("list_id", F.explode(ids).alias("token_id"))
         return row.where("(list_id + token_id) % 5 <> 0").select("list_id", "token_id", (-((F.col("list_id") * 7 + F.col("token_id") * 13) % 50).cast("double") / 7.0).alias("logprob"))
 
     @cached_property

@@ -37,10 +37,21 @@ def scan_text_template(path: str) -> str:
         return f.read()
 
 
-def cache_lookup(summary: DataFrame, eval_llm: str, data: str, exists: Callable[[str], bool] | None = None) -> str | None:
-    """Path of the first row (by row_no) of the two keys whose file exists."""
-    rows = summary.where((F.col("eval_llm") == eval_llm) & (F.col("data") == data)).orderBy("row_no").select("path")
-    return next((r.path for r in rows.toLocalIterator() if (exists or os.path.exists)(r.path)), None)
+def cache_lookup(summary: DataFrame, files: DataFrame) -> DataFrame:
+    """(eval_llm, data, path): of each pair of keys, the path of the first row (by row_no) whose file exists.
+
+    ``summary`` has eval_llm, data, row_no, path; ``files`` the paths that exist (``existing_files`` lists a folder). Rows with
+    a null key or path name no file; pairs without an existing file do not come out.
+    """
+    there = files.select("path").where("path is not null").distinct()
+    found = summary.where("eval_llm is not null and data is not null").join(there, "path", "left_semi")
+    return found.groupBy("eval_llm", "data").agg(F.min_by("path", "row_no").alias("path"))
+
+
+def existing_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of all files under a folder of any file system that Spark reads; the folder's listing is distributed."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
 
 
 def checkpoint_probe(folder: str) -> bool:

@@ -149,6 +149,15 @@ def test_prompts(spark):
     assert get(P.problem_meta(F.lit(None).cast("string"), F.lit("broken"))).func_name == "solve"
 
 
+def test_hostile_answers_and_outputs(spark):
+    answers = spark.createDataFrame([(1, "\tA"), (1, "A\n"), (1, "B"), (1, None)], "list_id long, answer string")
+    row = V.vote_distribution(answers, spark.createDataFrame([(1, 2)], "list_id long, n int")).first()
+    assert (row.n_votes, row.predicted, round(row.conf, 3)) == (3, "A", 0.667)
+    runs = [(1, 0, 0, "1e2", "100", 0), (1, 0, 1, "true", "1", 0), (1, 0, 2, '{"a": 1, "b": [2]}', '{"b":[2],"a":1.0}', 0), (1, 0, 3, "x", None, 0), (1, 0, 4, "5", "5", 1)]
+    executions = spark.createDataFrame(runs, "prob_id long, cand int, tc_id int, stdout string, expected string, rc int")
+    assert [tuple(r) for r in S.test_pass_count(executions).collect()] == [(1, 0, 3, 5)]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     assert not readers.checkpoint_probe(str(tmp_path / "none"))
     (tmp_path / "checkpoint-x").mkdir()
@@ -158,7 +167,8 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "t.txt").write_text("{{ x }}")
     assert readers.scan_text_template(str(tmp_path / "t.txt")) == "{{ x }}"
     rows = spark.createDataFrame([("m", "d", str(tmp_path / "gone"), 0), ("m", "d", str(tmp_path / "t.txt"), 1)], "eval_llm string, data string, path string, row_no int")
-    assert readers.cache_lookup(rows, "m", "d").endswith("t.txt")
-    assert readers.cache_lookup(rows, "m", "other") is None
+    there = readers.existing_files(spark, str(tmp_path))
+    assert [tuple(r) for r in readers.cache_lookup(rows, there).collect()] == [("m", "d", str(tmp_path / "t.txt"))]
+    assert readers.cache_lookup(rows.withColumn("path", F.lit(None).cast("string")), there).count() == 0
     got = spark.createDataFrame([(0.1234567,), (None,)], "x double").select(sinks.fmt_percent(F.col("x")), sinks.fmt_decimals(F.col("x"))).collect()
     assert [tuple(r) for r in got] == [("12.35", "0.1235"), ("N/A", "N/A")]
