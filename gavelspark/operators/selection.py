@@ -17,8 +17,18 @@ def test_pass_count(executions: DataFrame) -> DataFrame:
     return executions.groupBy("prob_id", "cand").agg(F.count_if(passed).alias("passed"), F.count("*").alias("total"))
 
 
+def pair_winners(answers: DataFrame, scoring: bool = False) -> DataFrame:
+    """(prob_id, i, j, winner) of answers (prob_id, i, j, swapped, text): the verdict A or B in a text means i or j, and j or i
+    where the two were shown in swapped order. A null ``swapped`` is the plain order; a text without verdict has a null winner."""
+    verdict = X.pair_verdict(F.col("text"), scoring)
+    first = (verdict == "A") != F.coalesce("swapped", F.lit(False))
+    return answers.select("prob_id", "i", "j", F.when(verdict.isNotNull(), F.when(first, F.col("i")).otherwise(F.col("j"))).alias("winner"))
+
+
 def select_pairwise(verdicts: DataFrame, problems: DataFrame) -> DataFrame:
-    """(prob_id, sel): most wins over verdicts (prob_id, i, j, winner), ties to the lowest index, null without a win."""
+    """(prob_id, sel): most wins over verdicts (prob_id, i, j, winner), ties to the lowest index, null without a win.
+
+    With both orders of each pair (``pair_winners``), each order is a verdict of its own."""
     wins = verdicts.where("winner is not null").groupBy("prob_id", "winner").agg(F.count("*").alias("wins"))
     best = wins.groupBy("prob_id").agg(F.min(F.struct((-F.col("wins")).alias("less"), "winner"))["winner"].alias("sel"))
     return problems.select("prob_id").distinct().join(best, "prob_id", "left")

@@ -574,6 +574,19 @@ def select_pairwise(f):
     return _selected(f)
 
 
+#: Both orders of each pair, as text of both dialects; in some the first one shown wins whatever it is.
+_BOTH_ORDERS = """CASE WHEN winner IS NULL THEN 'no verdict' WHEN swapped AND (list_id + i + j) % 4 = 0 THEN concat('<think>x</think>', chr(92), 'boxed{A}')
+  WHEN (winner = i) <> swapped THEN concat(chr(92), 'boxed{A}') ELSE concat(chr(92), 'boxed{B}') END"""
+
+
+@query(f"""SELECT l.list_id AS prob_id, sel FROM lists l LEFT JOIN (SELECT list_id, arg_min(won, (-wins, won)) AS sel FROM (
+  SELECT list_id, won, count(*) AS wins FROM (SELECT list_id, CASE WHEN (text LIKE '%{{A}}') <> swapped THEN i ELSE j END AS won FROM (SELECT *, {_BOTH_ORDERS} AS text FROM verdicts CROSS JOIN (SELECT unnest([true, false]) AS swapped) s) t WHERE text LIKE '%boxed%') u GROUP BY ALL) w GROUP BY list_id) s ON s.list_id = l.list_id""")
+def select_pairwise_both_orders(f):
+    orders = f.verdicts.select("list_id", "i", "j", "winner", F.explode(F.array(F.lit(True), F.lit(False))).alias("swapped"))
+    answers = orders.select(_col("list_id").alias("prob_id"), "i", "j", "swapped", F.expr(_BOTH_ORDERS).alias("text"))
+    return S.select_pairwise(S.pair_winners(answers), f.lists.select(_col("list_id").alias("prob_id")))
+
+
 @query(f"SELECT list_id AS prob_id, CAST(CASE WHEN {_LETTER_AT} < n THEN {_LETTER_AT} END AS INT) AS sel FROM comp WHERE k = 0")
 def select_list(f):
     first = f.comp.where("k = 0").select(_col("list_id").alias("prob_id"), "text", "n")
