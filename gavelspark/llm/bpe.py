@@ -34,6 +34,8 @@ _SPLIT_ASCII = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\t-\r
 _ODD = re.compile("[\x1c-\x1f]")
 _NEVER = 1 << 60
 _CACHE_LIMIT = 500_000
+#: Longer words and segments are not kept, so that the bytes of what is kept are bounded too.
+_CACHE_CHARS = 64
 
 
 def split_words(text: str) -> list[str]:
@@ -176,9 +178,11 @@ class Encoder:
     def encode_word(self, word: str) -> list[int]:
         found = self._words.get(word)
         if found is None:
-            if len(self._words) > _CACHE_LIMIT:
-                self._words.clear()
-            found = self._words[word] = self._run(word.encode("utf-8", "replace"))
+            found = self._run(word.encode("utf-8", "replace"))
+            if len(word) <= _CACHE_CHARS:
+                if len(self._words) > _CACHE_LIMIT:
+                    self._words.clear()
+                self._words[word] = found
         return found
 
     def _run(self, data: bytes) -> list[int]:
@@ -331,9 +335,11 @@ class _Counts(dict):
         self.lattice = lattice
 
     def __missing__(self, segment: str) -> int:
-        if len(self) > _CACHE_LIMIT:
-            self.clear()
-        found = self[segment] = self.lattice._count(segment)
+        found = self.lattice._count(segment)
+        if len(segment) <= _CACHE_CHARS:
+            if len(self) > _CACHE_LIMIT:
+                self.clear()
+            self[segment] = found
         return found
 
     def __reduce__(self):
