@@ -204,19 +204,22 @@ def build_codegen_prompt(f):
     return f.lists.select("list_id", m[0]["content"].alias("content"))
 
 
-@query(f"SELECT list_id, {_with_newlines(_filled('list_score', query=chr(39) + 'q' + chr(39), language=chr(39) + 'python' + chr(39)))} AS content FROM ({_LABELLED.replace('c.language', chr(39) + 'python' + chr(39)).replace('any_value(' + chr(39) + 'python' + chr(39) + ') AS language', '1 AS language')}) z")
+_PLAIN = "trim(regexp_replace(query, '<[^>]+>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@query(f"SELECT list_id, {_with_newlines(_filled('list_score', query=_PLAIN, language=chr(39) + 'python' + chr(39)))} AS content FROM ({_LABELLED.replace('c.language', chr(39) + 'python' + chr(39)).replace('any_value(' + chr(39) + 'python' + chr(39) + ') AS language', '1 AS language')}) z")
 def build_list_prompt(f):
-    m = P.build_list_prompt(F.lit("q"), _col("candidates"), _col("n"), scoring=True, thinking=True)
+    m = P.build_list_prompt(_col("query"), _col("candidates"), _col("n"), scoring=True, thinking=True)
     return f.lists.select("list_id", m[0]["content"].alias("content"))
 
 
-_TWO = "SELECT list_id, 'q' AS query, 'python' AS language, concat('[CANDIDATE_A]', chr(10), '```python', chr(10), coalesce(candidates[1], ''), chr(10), '```', chr(10), '[/CANDIDATE_A]', chr(10), chr(10), '[CANDIDATE_B]', chr(10), '```python', chr(10), coalesce(candidates[2], ''), chr(10), '```', chr(10), '[/CANDIDATE_B]') AS labelled FROM lists"
+_TWO = "SELECT list_id, trim(regexp_replace(query, '<[^>]+>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS query, 'python' AS language, concat('[CANDIDATE_A]', chr(10), '```python', chr(10), coalesce(candidates[1], ''), chr(10), '```', chr(10), '[/CANDIDATE_A]', chr(10), chr(10), '[CANDIDATE_B]', chr(10), '```python', chr(10), coalesce(candidates[2], ''), chr(10), '```', chr(10), '[/CANDIDATE_B]') AS labelled FROM lists"
 
 
 @query(f"SELECT list_id, CAST(2 AS INT) AS messages, 'system' AS role0, '{_T['system']}' AS content0, 'user' AS role1, {_with_newlines(_filled('select'))} AS content1 FROM ({_TWO}) z")
 def build_pair_prompt(f):
     first, second = F.get("candidates", F.lit(0)), F.get("candidates", F.lit(1))
-    return f.lists.select("list_id", *_prompt_columns(P.build_pair_prompt(F.lit("q"), first, second, scoring=False, thinking=False)))
+    return f.lists.select("list_id", *_prompt_columns(P.build_pair_prompt(_col("query"), first, second, scoring=False, thinking=False)))
 
 
 @query("SELECT list_id, k, CASE WHEN strpos(text, chr(92) || 'boxed{') > 0 THEN substr(text, 1, strpos(text, chr(92) || 'boxed{') + 6) END AS cut FROM comp")
