@@ -182,7 +182,7 @@ def _judge(threshold: float):
         for f in frames:
             similar = S.similarities(list(f.qa), list(f.qb), threshold)
             f = f.assign(similarity=similar)[similar >= threshold]
-            f = f[[len(x) > 0 and len(y) > 0 for x, y in zip(f.ca, f.cb)]]
+            f = f[np.array([len(x) > 0 and len(y) > 0 for x, y in zip(f.ca, f.cb)], bool)]
             left, right, spans = [], [], []
             for x, y in zip(f.ca, f.cb):
                 spans.append((len(left), len(x), len(y)))

@@ -249,6 +249,14 @@ def test_chain_and_extension():
     assert so.extend(a, b, []) == (0, 0)
 
 
+def test_batches_without_a_close_pair():
+    import pandas as pd
+
+    far = pd.DataFrame({"a": [1], "b": [2], "qa": ["a b c d"], "qb": ["w x y z"], "ca": [["p q r"]], "cb": [["p q r"]]})
+    blank = far.assign(qb=["a b c d"], ca=[[]])
+    assert [list(x.columns) + [len(x)] for x in so._judge(0.6)(iter([far, far[:0], blank]))] == [["a", "b", "similarity", "coverage", 0]] * 3
+
+
 def test_coverage_of_stock_phrases(spark):
     stock = [f"s{i}" for i in range(60)]
     rows = []
